@@ -85,3 +85,22 @@ def record_batches(rows: Iterable[dict], schema: pa.Schema, size: int = 2000) ->
             block = []
     if block:
         yield pa.RecordBatch.from_pylist(block, schema)
+
+
+MAP_BITS = 24
+
+
+def bit_map(rows: DataFrame, column: str) -> np.ndarray:
+    """A bit for each 64-bit hash, by its low bits: 2 MB, however many hashes; each byte is made on the executors."""
+    byte = F.shiftright(F.col(column).bitwiseAND((1 << MAP_BITS) - 1), 3).cast("int")
+    bit = F.expr(f"shiftleft(1, cast(`{column}` & 7 as int))")
+    found = rows.select(byte.alias("byte"), bit.alias("bit")).groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+    out[found.column("byte").to_numpy()] = found.column("bits").to_numpy().astype(np.uint8)
+    return out
+
+
+def has_bit(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of these 64-bit hashes the map may hold."""
+    place = hashes.astype(np.int64) & ((1 << MAP_BITS) - 1)
+    return ((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)

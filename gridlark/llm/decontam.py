@@ -36,11 +36,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridlark.llm.common import bit_map, has_bit
+
 WINDOW = 8
 MOST_SLOTS = 4
 RUN = 13
 COVER = 0.5
-MAP_BITS = 24
 CACHE = 400_000
 
 #: Units of measure that may follow a number.
@@ -119,7 +120,6 @@ def _windows(table: DataFrame, key: str, text: str, sizes: list[int] | None, bit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Canonicaliser()
-        mask = np.uint64((1 << MAP_BITS) - 1)
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for i, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -127,8 +127,7 @@ def _windows(table: DataFrame, key: str, text: str, sizes: list[int] | None, bit
                 for size in [min(window, len(words))] if sizes is None else sizes:
                     found, good = window_hashes(hashes, slots, size)
                     if bits is not None:
-                        place = (found & mask).astype(np.int64)
-                        good = good & ((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
+                        good = good & has_bit(bits, found)
                     for at in np.flatnonzero(good).tolist():
                         for column, v in zip(out, (i, len(words), at, size, int(found[at].astype(np.int64)), _slot_values(words[at : at + size], slots[at : at + size])), strict=True):
                             column.append(v)
@@ -138,17 +137,6 @@ def _windows(table: DataFrame, key: str, text: str, sizes: list[int] | None, bit
     return source.mapInArrow(run, "id bigint, tokens int, at int, size int, hash bigint, slots array<string>")
 
 
-def _bit_map(windows: DataFrame) -> np.ndarray:
-    """A bit for each hash, by its low bits; made in pieces of the map, so that no more than the map is collected."""
-    mask = (1 << MAP_BITS) - 1
-    byte = F.shiftright(F.col("hash").bitwiseAND(mask), 3).cast("int")
-    parts = windows.select(byte.alias("byte"), F.expr("shiftleft(1, cast(hash & 7 as int))").alias("bit")).groupBy("byte").agg(F.bit_or("bit").alias("bits"))
-    out = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    found = parts.toArrow()
-    out[found.column("byte").to_numpy()] = found.column("bits").to_numpy().astype(np.uint8)
-    return out
-
-
 def _longest_run(places: Column) -> Column:
     """The length of the longest run of consecutive numbers in a sorted array."""
     zero = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
@@ -164,7 +152,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     """doc_id, item_id, n_windows, run_tokens, covered_tokens, item_tokens and kind (verbatim or reparameterised) of every contaminated document and item."""
     known = _windows(items, item_key, item_text, None, None, window).select(F.col("id").alias("item_id"), F.col("tokens").alias("item_tokens"), F.col("at").alias("item_at"), "size", "hash", F.col("slots").alias("item_slots"))
     sizes = sorted(r["size"] for r in known.select("size").distinct().collect())
-    bits = _bit_map(known)
+    bits = bit_map(known, "hash")
     found = _windows(docs, key, text, sizes, bits, window).select(F.col("id").alias("doc_id"), "at", "size", "hash", "slots")
     met = found.join(known, ["hash", "size"]).withColumn("shift", F.col("at") - F.col("item_at"))
     pairs = F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc"))
