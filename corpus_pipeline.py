@@ -5,10 +5,53 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gridlark.llm.bpe import encode_texts
+from gridlark.llm.bpe_query import vocabulary_path
 from gridlark.llm.common import staged
+from gridlark.llm.decontam import contaminated
+from gridlark.llm.dedup import clean_documents
+from gridlark.llm.jaccard import classes
+from gridlark.llm.quality import keep_documents
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    return keep_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates (five words, 0.8) the document with the least id."""
+    found = classes(docs, words=5, num=4, den=5)
+    others = staged(found.where("doc_id <> component_id").select("doc_id"), "near-duplicates")
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the 400-byte strings that start anywhere else too."""
+    return clean_documents(docs, least=400)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without an item of the benchmark."""
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    ids = staged(found.select(F.col("doc_id")).distinct(), "contaminated")
+    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids and digests of what is left."""
+    return encode_texts(docs, vocabulary_path(), with_ids=False)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("decontamination", decontamination),
+    ("tokens", tokens),
+]
 #: The quality scores and the ids of the tokenizer can't be expressed in SQL; the stages are tested against brute force.
 ORACLE_SQL: str | None = None
 

@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.llm.common import bit_map, has_bit, staged, text_bytes
@@ -126,9 +126,11 @@ def _halves(digest: bytes) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def _prepared(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    """Per row: id, the text's name (t1, t2), bytes, and what windows_of() finds."""
-    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("bytes"))
+def _prepared(docs: DataFrame, key: str, text: str, least: int, carry: list[str]) -> DataFrame:
+    """Per row: id, the text's name (t1, t2), bytes, what windows_of() finds, and the carried columns as a struct."""
+    extra = F.struct(*(F.col(c) for c in carry)) if carry else F.struct(F.lit(True).alias("none"))
+    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("bytes"), extra.alias("extra"))
+    kind = source.schema["extra"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
@@ -144,9 +146,9 @@ def _prepared(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
                 t1, t2 = zip(*names, strict=True)
                 kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 arrays = [pa.array(c, pa.list_(k)) for c, k in zip(([x.astype(np.int32) if k == pa.int32() else x for x in c] for c, k in zip(lists, kinds, strict=True)), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), *arrays, part.column(1)], ["doc_id", "t1", "t2", "starts", "anchors", "places", "at", "sampled", "bytes"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), *arrays, part.column(1), part.column(2)], ["doc_id", "t1", "t2", "starts", "anchors", "places", "at", "sampled", "bytes", "extra"])
 
-    return source.mapInArrow(run, "doc_id bigint, t1 bigint, t2 bigint, starts array<int>, anchors array<bigint>, places array<bigint>, at array<int>, sampled array<bigint>, bytes binary")
+    return source.mapInArrow(run, f"doc_id bigint, t1 bigint, t2 bigint, starts array<int>, anchors array<bigint>, places array<bigint>, at array<int>, sampled array<bigint>, bytes binary, extra {kind}")
 
 
 def _list(batch: pa.RecordBatch, name: str, i: int) -> np.ndarray:
@@ -367,11 +369,12 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def deduplicate(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and kept_sha256 of every row."""
-    rows = staged(_prepared(docs, key, text, least), "dedup-rows").select("doc_id", "t1", "t2", "starts", "anchors", "places", "at", "sampled", "bytes")
-    spans = repeated_spans(rows, least)
-    slim = rows.select("doc_id", "t1", "t2", "bytes")
+def deduplicate(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), kept_sha256 and extra (a struct of the columns to carry) of every row."""
+    rows = staged(_prepared(docs, key, text, least, carry or []), "dedup-rows")
+    spans = repeated_spans(rows.drop("extra"), least)
+    slim = rows.select("doc_id", "t1", "t2", "bytes", "extra")
+    kind = slim.schema["extra"].dataType.simpleString()
     found = slim.sparkSession.sparkContext.broadcast(bit_map(spans.select("t1"), "t1"))
 
     def split(hit: bool):
@@ -379,11 +382,12 @@ def deduplicate(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text:
             for batch in batches:
                 yield batch.filter(pa.array(has_bit(found.value, batch.column(1).to_numpy()) == hit))
 
-        return slim.mapInArrow(run, "doc_id bigint, t1 bigint, t2 bigint, bytes binary")
+        return slim.mapInArrow(run, f"doc_id bigint, t1 bigint, t2 bigint, bytes binary, extra {kind}")
 
     # Only texts that have spans, or may have, are shuffled.
-    whole = split(False).select("doc_id", F.octet_length("bytes").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("bytes").alias("kept"), F.sha2("bytes", 256).alias("kept_sha256"))
-    joined = split(True).join(spans, ["t1", "t2"], "left").select("doc_id", "bytes", F.transform("spans", lambda s: s["from"]).alias("from"), F.transform("spans", lambda s: s["to"]).alias("to"))
+    nothing = F.lit(0).cast("long")
+    whole = split(False).select("doc_id", F.octet_length("bytes").cast("long").alias("n_bytes"), nothing.alias("n_removed"), nothing.alias("n_spans"), F.col("bytes").alias("kept"), F.sha2("bytes", 256).alias("kept_sha256"), "extra")
+    joined = split(True).join(spans, ["t1", "t2"], "left").select("doc_id", "bytes", F.transform("spans", lambda s: s["from"]).alias("from"), F.transform("spans", lambda s: s["to"]).alias("to"), "extra")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -397,6 +401,24 @@ def deduplicate(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text:
                     for column, v in zip(out, (len(own), len(own) - len(kept), len(runs), kept, hashlib.sha256(kept).hexdigest()), strict=True):
                         column.append(v)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True)), part.column(4)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "extra"])
 
-    return whole.unionAll(joined.mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string"))
+    return whole.unionAll(joined.mapInArrow(cut, f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string, extra {kind}"))
+
+
+def clean_documents(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
+    """The documents without their repeated passages, with the same columns; those that lose all their text go.
+
+    Where a passage begins or ends within a character, what is left of it goes too.
+    """
+    carry = [c for c in docs.columns if c not in (key, text, length)]
+    found = deduplicate(docs.withColumn("had_text", F.col(text).isNotNull()), least, key, text, [*carry, "had_text"])
+    found = found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes")))
+    whole = F.when(F.col("extra.had_text"), F.col("kept").cast("string"))
+    out = found.select(F.col("doc_id").alias(key), _valid(F.col("n_removed") > 0, whole).alias(text), *(F.col(f"extra.`{c}`").alias(c) for c in carry))
+    return out.withColumn(length, F.length(text).cast("long")).select(*docs.columns) if length in docs.columns else out.select(*docs.columns)
+
+
+def _valid(changed: Column, whole: Column) -> Column:
+    """Text whose bytes may no longer be UTF-8, without those that aren't."""
+    return F.when(changed, F.regexp_replace(F.make_valid_utf8(whole), "\ufffd", "")).otherwise(whole)

@@ -189,3 +189,21 @@ def score_documents(docs: DataFrame, labels: DataFrame, least: float = 0.3, key:
     model = fit(stats, labels, key)
     scored = _raw(stats, model, [key])
     return scored.select(key, held_out(key).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def keep_documents(docs: DataFrame, labels: DataFrame, least: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that score at least `least`, with all their columns; nothing is joined, each text is scored where it is read."""
+    model = fit(staged(document_statistics(docs, key, text), "quality-stats"), labels, key)
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(place))
+            for a, b in byte_slices(offsets, SLICE_BYTES):
+                part = batch.slice(a, b - a)
+                rows: list[list[float]] = []
+                _length_stats(data, 0, b - a, part.column(place).to_pylist(), rows, offsets[a : b + 1])
+                raw = expand(np.array(rows, np.float32).astype(np.float64), model) @ model["weights"]
+                yield part.filter(pa.array(np.interp(raw, model["knots"], model["levels"]) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
