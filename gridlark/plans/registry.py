@@ -2,9 +2,550 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gridlark.functions import geometry as g
+from gridlark.functions import morton
+from gridlark.functions.geometry import BASE_TOLERANCE, Box, Plane
+from gridlark.functions.morton import Grid
+from gridlark.operators import bvh, filters, index, joins, nearest, rays
+from gridlark.operators.filters import Logic, RangeMode
+from gridlark.operators.table import SpatialTable
+from gridlark.plans.tables import BOXES2, LINES, POINTS2, POINTS3, sql, table
+from gridlark.sources.spec import CONTIGUOUS, GeometrySpec, points
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _num(x: float) -> str:
+    """A double for DuckDB, digit for digit."""
+    return f"cast('{x!r}' as double)"
+
+
+T = _num(BASE_TOLERANCE)
+LINE_COLUMNS = ["l_orderkey", "l_linenumber", "min0", "max0", "min1", "max1"]
+GRID = Grid([0.0, 0.0], [600000.0, 16384.0], 8)
+BOX_GRID = Grid([0.0, 0.0], [512.0, 16384.0], 8)
+S2 = 1 / math.sqrt(2.0)
+
+
+def query(name: str, oracle: str | None = None):
+    """Register a query and its SQL."""
+
+    def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLE_SQL[name] = oracle
+        return f
+
+    return keep
+
+
+# Filters
+
+RANGE_POINTS = Box([50.0, 10.0], [100.0, 60.0])
+RANGE_BOXES = Box([100.0, 200.0], [180.0, 700.0])
+
+
+def _in(box: Box) -> str:
+    return " and ".join(f"{_num(lo - BASE_TOLERANCE)} < p{d} and p{d} < {_num(hi + BASE_TOLERANCE)}" for d, (lo, hi) in enumerate(zip(box.lo, box.hi, strict=True)))
+
+
+@query("range_points", f"select id from {sql('event_points')} where {_in(RANGE_POINTS)}")
+def range_points(spark, sf):
+    return filters.range_search(table(spark, sf, "event_points"), POINTS2, RANGE_POINTS).select("id")
+
+
+@query("range_boxes_inside", f"select id from {sql('order_boxes')} where 100.0 <= min0 and max0 <= 180.0 and 200.0 <= min1 and max1 <= 700.0")
+def range_boxes_inside(spark, sf):
+    return filters.range_search(table(spark, sf, "order_boxes"), BOXES2, RANGE_BOXES).select("id")
+
+
+@query("range_boxes_overlap", f"select id from {sql('order_boxes')} where min0 + {T} < 180.0 and 100.0 + {T} < max0 and min1 + {T} < 700.0 and 200.0 + {T} < max1")
+def range_boxes_overlap(spark, sf):
+    return filters.range_search(table(spark, sf, "order_boxes"), BOXES2, RANGE_BOXES, RangeMode.OVERLAP).select("id")
+
+
+@query("pick_boxes", f"select {', '.join(LINE_COLUMNS)} from {sql('line_boxes')} where min0 - {T} < 40.25 and 40.25 < max0 + {T} and min1 - {T} < 5.5 and 5.5 < max1 + {T}")
+def pick_boxes(spark, sf):
+    return filters.pick(table(spark, sf, "line_boxes"), LINES, [40.25, 5.5]).select(*LINE_COLUMNS)
+
+
+PLANE = Plane(700.0, [0.6, 0.8])
+PART_SIDE = f"case when 0.6::double * p0 + 0.8::double * p1 < {_num(700.0 - BASE_TOLERANCE)} then -1 when 0.6::double * p0 + 0.8::double * p1 > {_num(700.0 + BASE_TOLERANCE)} then 1 else 0 end"
+
+
+@query("plane_relation", f"select id, {PART_SIDE} as relation from {sql('part_points')}")
+def plane_relation(spark, sf):
+    return table(spark, sf, "part_points").select("id", filters.plane_relation(POINTS2, PLANE).alias("relation"))
+
+
+@query("plane_search", f"select id from {sql('part_points')} where abs(0.6::double * p0 + 0.8::double * p1 - 750) <= 2.5 and not (0.6::double * p0 + 0.8::double * p1 < 747.5 or 0.6::double * p0 + 0.8::double * p1 > 752.5)")
+def plane_search(spark, sf):
+    return filters.plane_search(table(spark, sf, "part_points"), POINTS2, Plane(750.0, [0.6, 0.8]), 2.5).select("id")
+
+
+@query("plane_positive", f"select id from {sql('part_points')} where {PART_SIDE} >= 0")
+def plane_positive(spark, sf):
+    return filters.plane_positive(table(spark, sf, "part_points"), POINTS2, PLANE).select("id")
+
+
+def _box_side(d: float, n: tuple[float, float]) -> str:
+    s = f"({_num(n[0])} * ((min0 + max0) * 0.5::double) + {_num(n[1])} * ((min1 + max1) * 0.5::double)) - {_num(d)}"
+    r = f"({T} + (max0 - min0) * 0.5::double * {_num(abs(n[0]))} + (max1 - min1) * 0.5::double * {_num(abs(n[1]))})"
+    return f"case when {s} + {r} < 0 then -1 when {s} - {r} > 0 then 1 else 0 end"
+
+
+@query("plane_boxes", f"select {', '.join(LINE_COLUMNS)} from {sql('line_boxes')} where {_box_side(30.0, (0.6, 0.8))} = 0")
+def plane_boxes(spark, sf):
+    return filters.plane_intersection(table(spark, sf, "line_boxes"), LINES, Plane(30.0, [0.6, 0.8])).select(*LINE_COLUMNS)
+
+
+def _point_side(d: float, n: tuple[float, float], t: float = BASE_TOLERANCE) -> str:
+    s = f"({_num(n[0])} * p0 + {_num(n[1])} * p1)"
+    return f"case when {s} < {_num(d - t)} then -1 when {s} > {_num(d + t)} then 1 else 0 end"
+
+
+FRUSTUM = [Plane(50000.0, [1.0, 0.0]), Plane(-300000.0, [-1.0, 0.0]), Plane(100.0, [0.0, 1.0])]
+FRUSTUM_SQL = [(50000.0, (1.0, 0.0)), (-300000.0, (-1.0, 0.0)), (100.0, (0.0, 1.0))]
+
+
+@query("frustum_points", f"select id from {sql('order_points')} where " + " and ".join(f"{_point_side(d, n)} >= 0" for d, n in FRUSTUM_SQL))
+def frustum_points(spark, sf):
+    return filters.frustum_culling(table(spark, sf, "order_points"), POINTS2, FRUSTUM).select("id")
+
+
+BOX_FRUSTUM = [(100.0, (0.6, 0.8)), (-900.0, (-S2, -S2))]
+
+
+@query("frustum_boxes", f"select id from {sql('order_boxes')} where " + " and ".join(f"{_box_side(d, n)} >= 0" for d, n in BOX_FRUSTUM) + f" and ((" + " and ".join(f"{_box_side(d, n)} = 1" for d, n in BOX_FRUSTUM) + ") or id % 2 = 0)")
+def frustum_boxes(spark, sf):
+    """With a test, which is asked only of boxes on a plane."""
+    return filters.frustum_culling(table(spark, sf, "order_boxes"), BOXES2, [Plane(d, list(n)) for d, n in BOX_FRUSTUM], test=F.col("id") % 2 == 0).select("id")
+
+
+CONDITION_BOX = Box([100000.0, 100.0], [400000.0, 900.0])
+CONDITIONS_SQL = [
+    f"({_point_side(50000.0, (1.0, 0.0))} >= 0 and {_point_side(200.0, (0.0, 1.0))} > 0)", f"({_in(CONDITION_BOX)})", f"({_point_side(500.0, (0.0, 1.0), 150.0)} = 0)", "(id % 3 = 0)",
+]
+
+
+def _conditions():
+    return [
+        filters.in_frustum(POINTS2, [Plane(50000.0, [1.0, 0.0]), Plane(200.0, [0.0, 1.0])], [True, False]), filters.within(POINTS2, CONDITION_BOX),
+        filters.intersecting(POINTS2, Plane(500.0, [0.0, 1.0]), 150.0), filters.satisfying(F.col("id") % 3 == 0),
+    ]
+
+
+@query("compound_and", f"select id from {sql('order_points')} where {' and '.join(CONDITIONS_SQL)}")
+def compound_and(spark, sf):
+    return filters.query(table(spark, sf, "order_points"), _conditions()).select("id")
+
+
+@query("compound_or", f"select id from {sql('order_points')} where {' or '.join(CONDITIONS_SQL)}")
+def compound_or(spark, sf):
+    return filters.query(table(spark, sf, "order_points"), _conditions(), Logic.OR).select("id")
+
+
+@query("contains_id", f"select id, p0, p1 from {sql('customer_points')} where id = 77")
+def contains_id(spark, sf):
+    return filters.get(table(spark, sf, "customer_points"), POINTS2, 77)
+
+
+@query("domain_box", f"select min(min0) as min0, max(max0) as max0, min(min1) as min1, max(max1) as max1 from {sql('order_boxes')}")
+def domain_box(spark, sf):
+    return filters.domain_box(table(spark, sf, "order_boxes"), BOXES2)
+
+
+# Functions
+
+SIDES = [("min0", "max0", 120.0, 160.0), ("min1", "max1", 300.0, 420.0)]
+
+
+def _relation_sql() -> str:
+    parts = [f"case when {a} + {T} < {h} and {lo} + {T} < {b} then 1 when abs({a} - {h}) <= {T} or abs({b} - {lo}) <= {T} then 0 else -1 end" for a, b, lo, h in SIDES]
+    return f"least({', '.join(parts)})"
+
+
+@query("box_relation", f"select id, {_relation_sql()} as relation from {sql('order_boxes')}")
+def box_relation(spark, sf):
+    return table(spark, sf, "order_boxes").select("id", g.relation(BOXES2.box(), Box([120.0, 300.0], [160.0, 420.0])).alias("relation"))
+
+
+@query("box_measures", f"select id, (max0 - min0) * (max1 - min1) as volume, ((max0 - min0) + (max1 - min1)) * 2.0::double as surface, (min0 + max0) * 0.5::double as c0, (min1 + max1) * 0.5::double as c1, least(min0, 100.0) as u0, greatest(max0, 200.0) as v0 from {sql('order_boxes')}")
+def box_measures(spark, sf):
+    b = BOXES2.box()
+    c, u = g.center(b), g.unite(b, Box([100.0, 0.0], [200.0, 1.0]))
+    return table(spark, sf, "order_boxes").select("id", g.column(g.volume(b)).alias("volume"), g.column(g.surface(b)).alias("surface"), c[0].alias("c0"), c[1].alias("c1"), u.lo[0].alias("u0"), u.hi[0].alias("v0"))
+
+
+@query("vector_measures", f"select id, p0 * 2.0::double + p1 * 3.0::double as dot, sqrt(p0 * p0 + p1 * p1) as size, sqrt((p0 - 5.0::double) * (p0 - 5.0::double) + (p1 - 7.0::double) * (p1 - 7.0::double)) as distance from {sql('part_points')}")
+def vector_measures(spark, sf):
+    p = POINTS2.point()
+    return table(spark, sf, "part_points").select("id", g.column(g.dot(p, [2.0, 3.0])).alias("dot"), g.size(p).alias("size"), g.distance(p, [5.0, 7.0]).alias("distance"))
+
+
+Q0, Q1 = 250.5, 700.25
+
+
+def _minmax_ctes() -> str:
+    return f"""a as (select *, (min0 - {Q0}::double) * (min0 - {Q0}::double) as a0, (max0 - {Q0}::double) * (max0 - {Q0}::double) as b0, (min1 - {Q1}::double) * (min1 - {Q1}::double) as a1, (max1 - {Q1}::double) * (max1 - {Q1}::double) as b1,
+ not (min0 - {T} <= {Q0} and {Q0} <= max0 + {T}) as o0, not (min1 - {T} <= {Q1} and {Q1} <= max1 + {T}) as o1 from {sql('order_boxes')}),
+m as (select id, case when o0 or o1 then sqrt(case when o0 then least(a0, b0) else 0 end + case when o1 then least(a1, b1) else 0 end) else 0 end as least_dist,
+ case when o0 or o1 then sqrt(greatest(a0, b0) + greatest(a1, b1) - greatest(greatest(a0, b0) - least(a0, b0), greatest(a1, b1) - least(a1, b1)))
+ else least(greatest(abs(min0 - {Q0}::double), abs(max0 - {Q0}::double)), greatest(abs(min1 - {Q1}::double), abs(max1 - {Q1}::double))) end as sure_dist from a)"""
+
+
+@query("minmax_distance", f"with {_minmax_ctes()} select * from m")
+def minmax_distance(spark, sf):
+    least, sure = g.min_max_distance([Q0, Q1], BOXES2.box())
+    return table(spark, sf, "order_boxes").select("id", least.alias("least_dist"), sure.alias("sure_dist"))
+
+
+@query("wall_distance", f"""with a as (select id, (max0 - min0) * 0.5::double as h0, (max1 - min1) * 0.5::double as h1, min0, min1 from {sql('order_boxes')}),
+b as (select *, abs(min0 + h0 - {Q0}::double) as d0, abs(min1 + h1 - {Q1}::double) as d1 from a)
+select id, case when d0 <= h0 and d1 <= h1 then 0 else sqrt(greatest(0, d0 - h0) * greatest(0, d0 - h0) + greatest(0, d1 - h1) * greatest(0, d1 - h1)) end as dist from b""")
+def wall_distance(spark, sf):
+    return table(spark, sf, "order_boxes").select("id", g.wall_distance([Q0, Q1], BOXES2.box()).alias("dist"))
+
+
+# Joins
+
+OVERLAP_SQL = f"a.min0 + {T} < b.max0 and b.min0 + {T} < a.max0 and a.min1 + {T} < b.max1 and b.min1 + {T} < a.max1"
+
+
+@query("collide_self", f"with x as {sql('order_boxes')} select a.id as l_id, b.id as r_id from x a join x b on a.id < b.id and {OVERLAP_SQL}")
+def collide_self(spark, sf):
+    return joins.collide(table(spark, sf, "order_boxes"), BOXES2)
+
+
+@query("collide_filtered", f"with x as {sql('order_boxes')} select a.id as l_id, b.id as r_id from x a join x b on a.id < b.id and {OVERLAP_SQL} where (a.id + b.id) % 2 = 0")
+def collide_filtered(spark, sf):
+    return joins.collide(table(spark, sf, "order_boxes"), BOXES2, pair_test=(F.col("l_id") + F.col("r_id")) % 2 == 0)
+
+
+@query("collide_two", f"with x as {sql('order_boxes')}, y as {sql('part_boxes')} select a.id as l_id, b.id as r_id from x a join y b on {OVERLAP_SQL}")
+def collide_two(spark, sf):
+    return joins.collide_two(table(spark, sf, "order_boxes"), BOXES2, table(spark, sf, "part_boxes"), BOXES2)
+
+
+@query("collide_points", f"with x as {sql('event_points')} select a.id as l_id, b.id as r_id from x a join x b on a.id < b.id and a.p0 = b.p0 where (a.p0 - b.p0) * (a.p0 - b.p0) + (a.p1 - b.p1) * (a.p1 - b.p1) <= {_num(BASE_TOLERANCE * BASE_TOLERANCE)}")
+def collide_points(spark, sf):
+    return joins.collide(table(spark, sf, "event_points"), POINTS2)
+
+
+@query("points_within", f"with x as {sql('vectors3')}, p as (select a.id as l_id, b.id as r_id, (a.p0 - b.p0) * (a.p0 - b.p0) + (a.p1 - b.p1) * (a.p1 - b.p1) + (a.p2 - b.p2) * (a.p2 - b.p2) as dist2 from x a, x b where a.id < b.id) select * from p where dist2 <= {_num(0.03 * 0.03)}")
+def points_within(spark, sf):
+    x = table(spark, sf, "vectors3")
+    return joins.within_distance(x, POINTS3, x, POINTS3, 0.03).where("l_id < r_id")
+
+
+@query("batch_range", f"with q as {sql('nation_boxes')}, x as {sql('customer_points')} select q.id as l_id, x.id as r_id from q join x on min0 - {T} < p0 and p0 < max0 + {T} and min1 - {T} < p1 and p1 < max1 + {T}")
+def batch_range(spark, sf):
+    return joins.batch_range(table(spark, sf, "nation_boxes"), BOXES2, table(spark, sf, "customer_points"), POINTS2)
+
+
+@query("batch_range_overlap", f"with a as {sql('part_boxes')}, b as {sql('order_boxes')} select a.id as l_id, b.id as r_id from a join b on {OVERLAP_SQL} and a.min0 < a.max0 and a.min1 < a.max1")
+def batch_range_overlap(spark, sf):
+    return joins.batch_range(table(spark, sf, "part_boxes"), BOXES2, table(spark, sf, "order_boxes"), BOXES2, inside=False)
+
+
+PICKS = "p_partkey as id", "p_retailprice / 4 as p0", "cast(p_partkey % 1500 + 1 as double) as p1"
+
+
+@query("batch_pick", f"with q as (select {', '.join(PICKS)} from part), x as {sql('order_boxes')} select q.id as l_id, x.id as r_id from q join x on min0 - {T} < p0 and p0 < max0 + {T} and min1 - {T} < p1 and p1 < max1 + {T}")
+def batch_pick(spark, sf):
+    picks = spark.read.parquet(f"{sf}/part.parquet").selectExpr(*PICKS)
+    return joins.batch_pick(picks, POINTS2, table(spark, sf, "order_boxes"), BOXES2)
+
+
+# Nearest
+
+
+def _knn_sql(rows: str, k: int, limit: float | None = None) -> str:
+    within = "" if limit is None else f" where dist < {_num(max(BASE_TOLERANCE, limit * (1.0 + BASE_TOLERANCE)))}"
+    return f"""with d as (select * from (select id, sqrt((p0 - 100.0::double) * (p0 - 100.0::double) + (p1 - 20.0::double) * (p1 - 20.0::double)) as dist from {rows}){within}),
+k as (select max(dist) as kth from (select dist from d order by dist limit {k}))
+select id, dist from d, k where dist < greatest({T}, kth * (1.0::double + {T})) or dist <= kth"""
+
+
+@query("knn_points", _knn_sql(sql("event_points"), 25))
+def knn_points(spark, sf):
+    return nearest.nearest(table(spark, sf, "event_points"), POINTS2, [100.0, 20.0], 25).select("id", "dist")
+
+
+@query("knn_within", _knn_sql(sql("event_points"), 40, 3.0))
+def knn_within(spark, sf):
+    return nearest.nearest(table(spark, sf, "event_points"), POINTS2, [100.0, 20.0], 40, 3.0).select("id", "dist")
+
+
+@query("knn_boxes", f"with {_minmax_ctes()}, k as (select max(sure_dist) as kth from (select sure_dist from m order by sure_dist limit 10)) select id, least_dist as dist from m, k where least_dist < greatest({T}, kth * (1.0::double + {T})) or sure_dist <= kth")
+def knn_boxes(spark, sf):
+    return nearest.nearest(table(spark, sf, "order_boxes"), BOXES2, [Q0, Q1], 10).select("id", "dist")
+
+
+@query("knn_join", f"""with q as {sql('supplier_points')}, x as {sql('customer_points')},
+d as (select q.id as l_id, x.id as r_id, sqrt((q.p0 - x.p0) * (q.p0 - x.p0) + (q.p1 - x.p1) * (q.p1 - x.p1)) as dist from q, x),
+k as (select l_id, max(dist) as kth from (select *, row_number() over (partition by l_id order by dist) as nth from d) where nth <= 3 group by 1)
+select l_id, r_id, dist from d join k using (l_id) where dist < greatest({T}, kth * (1.0::double + {T})) or dist <= kth""")
+def knn_join(spark, sf):
+    return joins.knn_join(table(spark, sf, "supplier_points"), POINTS2, table(spark, sf, "customer_points"), POINTS2, 3)
+
+
+@query("knn_vectors")
+def knn_vectors(spark, sf):
+    """Array vectors of any length; sums of 64 terms aren't the same to the last bit in SQL, so the distance isn't compared."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return nearest.nearest_to_rows(rows.where("vec_id % 100 = 0"), rows, "vec_id", "embedding", 5).select("qid", "id", F.round("dist", 6).alias("dist"))
+
+
+# Rays
+
+RAY = rays.ray([0.0, 0.0], [1.0, 0.1])
+
+
+def _hit_ctes(o: tuple[str, str], d: tuple[str, str], source: str, inc: float = 0.0) -> str:
+    near, far, flat = [], [], []
+    for i in range(2):
+        x, y = f"(min{i} - {o[i]}) / {d[i]}", f"(max{i} - {o[i]}) / {d[i]}"
+        still = f"abs({d[i]}) < {_num(2 * g.EPSILON)}"
+        near.append(f"case when {still} then '-inf'::double else least({x}, {y}) end")
+        far.append(f"case when {still} then 'inf'::double else greatest({x}, {y}) end")
+        flat.append(f"not ({still} and ((min{i} - {o[i]}) > slack or (max{i} - {o[i]}) < -slack))")
+    enter, leave = f"greatest({near[0]}, {near[1]})", f"least({far[0]}, {far[1]})"
+    i = _num(inc)
+    return f"""h0 as (select *, {enter} as e0, {leave} as x0 from {source}),
+h1 as (select *, greatest(0, x0) * {i} + {T} as slack, e0 - (greatest(0, e0) * {i} + {T}) * 0.5::double as e1, x0 + (greatest(0, x0) * {i} + {T}) * 0.5::double as x1 from h0),
+h as (select *, greatest(0, e1) as enter, x1 as exit from h1 where not (e1 >= x1 or x1 <= 0) and {flat[0]} and {flat[1]})"""
+
+
+RAY_SQL = _hit_ctes((_num(0.0), _num(0.0)), (_num(RAY.direction[0]), _num(RAY.direction[1])), sql("order_boxes"))
+
+
+@query("ray_all", f"with {RAY_SQL} select id, enter, exit from h where enter <= 900.0")
+def ray_all(spark, sf):
+    return rays.ray_all(table(spark, sf, "order_boxes"), BOXES2, RAY, 900.0).select("id", "enter", "exit")
+
+
+@query("ray_first", f"with {RAY_SQL} select id, enter, exit from h where enter <= (select min(exit) * (1.0::double + 0.0::double) + {T} from h)")
+def ray_first(spark, sf):
+    return rays.ray_first(table(spark, sf, "order_boxes"), BOXES2, RAY).select("id", "enter", "exit")
+
+
+#: Rays from parts: unit directions along an axis or a 3-4-5 triangle.
+RAY_COLUMNS = ["p_partkey as qid", "cast(0 as double) as o0", "cast(p_partkey % 1500 as double) as o1", "case when p_size % 3 = 0 then 1.0 when p_size % 3 = 1 then 0.6 else 0.8 end", "case when p_size % 3 = 0 then 0.0 when p_size % 3 = 1 then 0.8 else -0.6 end"]
+
+
+def _rays() -> str:
+    cast = lambda e: f"cast({e} as double)"
+    return ", ".join([*RAY_COLUMNS[:3], cast(RAY_COLUMNS[3]) + " as d0", cast(RAY_COLUMNS[4]) + " as d1"])
+
+
+BATCH_RAY_SQL = _hit_ctes(("o0", "o1"), ("d0", "d1"), f"(select r.*, b.* from (select {_rays()} from part where p_partkey % 20 = 0) r, {sql('order_boxes')} b)")
+
+
+def _some_rays(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/part.parquet").where("p_partkey % 20 = 0").selectExpr(*(c.strip() for c in RAY_COLUMNS[:3]), f"cast({RAY_COLUMNS[3]} as double) as d0", f"cast({RAY_COLUMNS[4]} as double) as d1")
+
+
+@query("batch_rays", f"with {BATCH_RAY_SQL} select qid, id as r_id, enter, exit from h")
+def batch_rays(spark, sf):
+    return rays.batch_rays(_some_rays(spark, sf), table(spark, sf, "order_boxes"), BOXES2, 2)
+
+
+@query("batch_rays_first", f"with {BATCH_RAY_SQL}, f as (select qid, min(exit) * (1.0::double + 0.0::double) + {T} as bound from h group by 1) select qid, id as r_id, enter, exit from h join f using (qid) where enter <= bound")
+def batch_rays_first(spark, sf):
+    return rays.batch_rays(_some_rays(spark, sf), table(spark, sf, "order_boxes"), BOXES2, 2, first=True)
+
+
+# Keys
+
+
+def _cell(x: str, d: int, grid: Grid) -> str:
+    return f"greatest(0, least(cast(floor(({x} - {_num(grid.lo[d])}) * {_num(grid.factors()[d])}) as bigint), {grid.resolution - 1}))"
+
+
+def _code(x: str, y: str, depth: int) -> str:
+    bits = [f"(((({v}) >> {i}) & 1) << {2 * i + d})" for i in range(depth) for d, v in enumerate((x, y))]
+    return f"({' | '.join(bits)})"
+
+
+CODE_CTE = f"c as (select id, p0, p1, {_cell('p0', 0, GRID)} as x, {_cell('p1', 1, GRID)} as y from {sql('order_points')}), m as (select id, p0, p1, x, y, {_code('x', 'y', GRID.depth)} as code from c)"
+TOP = 1 << (2 * GRID.depth)
+
+
+@query("morton_key", f"with {CODE_CTE} select id, code, x as back0, y as back1 from m")
+def morton_key(spark, sf):
+    code = morton.encode(morton.point_cell(POINTS2.point(), GRID), GRID.depth)
+    rows = table(spark, sf, "order_points").select("id", code.alias("code"))
+    x, y = morton.decode(F.col("code"), 2, GRID.depth)
+    return rows.select("id", "code", x.alias("back0"), y.alias("back1"))
+
+
+@query("node_key", f"with {CODE_CTE} select id, code | {TOP} as node_key, (code | {TOP}) >> 2 as parent, (code | {TOP}) & 3 as child_no, {GRID.depth} as depth from m")
+def node_key(spark, sf):
+    k = F.col("node_key")
+    rows = table(spark, sf, "order_points").select("id", morton.point_key(POINTS2.point(), GRID).alias("node_key"))
+    return rows.select("id", "node_key", morton.parent(k, 2).alias("parent"), morton.child_number(k, 2).alias("child_no"), morton.depth_of(k, 2).alias("depth"))
+
+
+@query("node_stats", f"with {CODE_CTE} select (code | {TOP}) >> 6 as node_key, count(*) as cnt, min(p0) as min0, max(p0) as max0, min(p1) as min1, max(p1) as max1 from m group by 1")
+def node_stats(spark, sf):
+    rows = table(spark, sf, "order_points").withColumn("node_key", F.shiftright(morton.point_key(POINTS2.point(), GRID), 6))
+    return index.node_table(rows, POINTS2, inner=False).drop("depth")
+
+
+@query("cell_center", f"with {CODE_CTE} select id, (cast(x as double) + 0.5::double) * {_num(GRID.sizes()[0] / GRID.resolution)} + {_num(GRID.lo[0])} as c0, (cast(y as double) + 0.5::double) * {_num(GRID.sizes()[1] / GRID.resolution)} + {_num(GRID.lo[1])} as c1 from m")
+def cell_center(spark, sf):
+    c = morton.cell_center(morton.point_cell(POINTS2.point(), GRID), GRID)
+    return table(spark, sf, "order_points").select("id", c[0].alias("c0"), c[1].alias("c1"))
+
+
+BF = BOX_GRID.factors()
+LOOSE_CTE = f"""s as (select *, cast(ceil(greatest((max0 - min0) * {_num(BF[0])}, (max1 - min1) * {_num(BF[1])})) as bigint) as cells, {_cell('((min0 + max0) * 0.5::double)', 0, BOX_GRID)} as x, {_cell('((min1 + max1) * 0.5::double)', 1, BOX_GRID)} as y from {sql('order_boxes')}),
+l as (select *, case when cells <= 1 then 0 else length(bin(cells - 1)) end as level, {_code('x', 'y', BOX_GRID.depth)} as code from s),
+k as (select *, case when 0 - {T} <= min0 and max0 <= 512 + {T} and 0 - {T} <= min1 and max1 <= 16384 + {T} then (code >> (2 * level)) | (1 << (2 * ({BOX_GRID.depth} - level))) else 1 end as node_key from l)"""
+
+
+@query("loose_key", f"with {LOOSE_CTE} select id, node_key from k")
+def loose_key(spark, sf):
+    return table(spark, sf, "order_boxes").select("id", morton.loose_key(BOXES2.box(), BOX_GRID).alias("node_key"))
+
+
+def _corner(x: str, d: int) -> str:
+    return f"(({x}) * {_num(BF[d])})"
+
+
+BOXKEY_CTE = f"""b0 as (select id, {', '.join(f"cast(floor({_corner(f'min{d}', d)}) as bigint) as a{d}, cast(floor({_corner(f'max{d}', d)}) as bigint) as z{d}, {_corner(f'max{d}', d)} as r{d}" for d in range(2))} from {sql('order_boxes')}),
+b1 as (select id, a0, a1, z0 - case when (a0 <> z0 and floor(r0) = r0) or z0 >= 256 then 1 else 0 end as z0, z1 - case when (a1 <> z1 and floor(r1) = r1) or z1 >= 256 then 1 else 0 end as z1 from b0),
+b2 as (select id, {_code('a0', 'a1', 8)} as a, {_code('z0', 'z1', 8)} as z from b1),
+b3 as (select id, a, xor(a, z) as diff from b2),
+b4 as (select id, a, case when diff = 0 then 0 else cast(ceil(length(bin(diff)) / 2.0) as integer) end as level from b3)"""
+
+
+@query("box_key", f"with {BOXKEY_CTE} select id, (a >> (2 * level)) | (1 << (2 * (8 - level))) as node_key from b4")
+def box_key(spark, sf):
+    return table(spark, sf, "order_boxes").select("id", morton.box_key(BOXES2.box(), BOX_GRID).alias("node_key"))
+
+
+@query("lca_key", f"with {CODE_CTE}, n as (select id, code | {TOP} as k, id // 2 as pair from m), p as (select pair, min(k) as a, max(k) as b from n group by 1) select pair, a >> cast(case when a = b then 0 else ceil(length(bin(xor(a, b))) / 2.0) * 2 end as integer) as lca from p")
+def lca_key(spark, sf):
+    rows = table(spark, sf, "order_points").select(F.floor(F.col("id") / 2).alias("pair"), morton.point_key(POINTS2.point(), GRID).alias("k"))
+    return rows.groupBy("pair").agg(F.min("k").alias("a"), F.max("k").alias("b")).select("pair", morton.common_ancestor(F.col("a"), F.col("b"), 2).alias("lca"))
+
+
+# Trees
+
+PAGE = 64
+TREE_CTE = f"""{CODE_CTE}, t as (select id, code | {TOP} as k from m), u as (select id, k, unnest(range({GRID.depth + 1})) as depth from t), v as (select id, k >> (2 * ({GRID.depth} - depth)) as node_key, depth from u),
+cnt as (select node_key, depth, count(*) as n from v group by 1, 2), f as (select v.id, min(v.depth) as depth from v join cnt using (node_key, depth) where cnt.n <= {PAGE} or depth = {GRID.depth} group by 1),
+leaf as (select v.id, v.node_key, v.depth from v join f using (id, depth))"""
+
+
+@query("tree_leaves", f"with {TREE_CTE} select node_key, depth, count(*) as cnt from leaf group by 1, 2")
+def tree_leaves(spark, sf):
+    keyed = index.assign_nodes(table(spark, sf, "order_points"), POINTS2, GRID, PAGE)
+    return index.node_table(keyed, POINTS2, inner=False).select("node_key", "depth", "cnt")
+
+
+@query("tree_nodes", f"with {TREE_CTE}, w as (select o.p0, o.p1, l.node_key, unnest(range(l.depth + 1)) as up, l.depth from leaf l join {sql('order_points')} o using (id)) select node_key >> (2 * up) as node_key, depth - up as depth, count(*) as below, cast(sum(case when up = 0 then 1 else 0 end) as bigint) as cnt, min(p0) as min0, max(p0) as max0, min(p1) as min1, max(p1) as max1 from w group by 1, 2")
+def tree_nodes(spark, sf):
+    _, nodes, _ = index.create(table(spark, sf, "order_points"), POINTS2, GRID, PAGE)
+    return nodes
+
+
+@query("traverse_bfs", f"with {TREE_CTE} select id, node_key, depth, row_number() over (order by depth, node_key, id) as place from leaf")
+def traverse_bfs(spark, sf):
+    """Places are numbered by node: counts of the nodes before, and a window within each node."""
+    keyed = index.assign_nodes(table(spark, sf, "order_points"), POINTS2, GRID, PAGE)
+    rows = index.breadth_first(keyed, POINTS2)
+    nodes = rows.groupBy("depth", "node_key").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("depth", "node_key").rowsBetween(Window.unboundedPreceding, -1))
+    nodes = nodes.withColumn("before", F.coalesce(before, F.lit(0))).select("node_key", "before")
+    at = F.row_number().over(Window.partitionBy("node_key").orderBy("id"))
+    return rows.withColumn("at", at).join(nodes, "node_key").select("id", "node_key", "depth", (F.col("before") + F.col("at")).alias("place"))
+
+
+@query("tree_equal", f"select true as same, false as same_after_move from {sql('order_points')} limit 1")
+def tree_equal(spark, sf):
+    rows, nodes, grid = index.create(table(spark, sf, "order_points"), POINTS2, GRID, PAGE)
+    other, other_nodes, _ = index.create(table(spark, sf, "order_points").orderBy(F.desc("id")), POINTS2, GRID, PAGE)
+    moved = table(spark, sf, "order_points").withColumn("p1", F.when(F.col("id") == 3, F.col("p1") + 9000).otherwise(F.col("p1")))
+    far, far_nodes, _ = index.create(moved, POINTS2, GRID, PAGE)
+    said = [(index.is_equal(rows, nodes, other, other_nodes, POINTS2), index.is_equal(rows, nodes, far, far_nodes, POINTS2))]
+    return spark.createDataFrame(said, "same boolean, same_after_move boolean")
+
+
+BIN_SQL = " union all ".join(
+    f"select {d} as axis, least(15, cast(floor((x{d} - lo{d}) * (16.0::double / (hi{d} - lo{d}))) as integer)) as bin, lo{d} as lo, hi{d} as hi, min0, max0, min1, max1 from c, lim" for d in range(2)
+)
+
+
+@query("bvh_root_split", f"""with c as (select *, (min0 + max0) * 0.5::double as x0, (min1 + max1) * 0.5::double as x1 from {sql('order_boxes')}), lim as (select min(x0) as lo0, max(x0) as hi0, min(x1) as lo1, max(x1) as hi1 from c),
+e as ({BIN_SQL}), b as (select axis, bin, lo, hi, count(*) as n, min(min0) as min0, max(max0) as max0, min(min1) as min1, max(max1) as max1 from e group by 1, 2, 3, 4),
+s as (select axis, bin, lo, hi, sum(n) over l as ln, sum(n) over r as rn, min(min0) over l as l0, max(max0) over l as h0, min(min1) over l as l1, max(max1) over l as h1, min(min0) over r as q0, max(max0) over r as r0, min(min1) over r as q1, max(max1) over r as r1
+ from b window l as (partition by axis order by bin rows between unbounded preceding and current row), r as (partition by axis order by bin rows between 1 following and unbounded following)),
+k as (select axis, bin, lo + (hi - lo) / 16.0::double * cast(bin + 1 as double) as position, cast(ln as double) * (((h0 - l0) + (h1 - l1)) * 2.0::double) + cast(rn as double) * (((r0 - q0) + (r1 - q1)) * 2.0::double) as cost from s where rn > 0)
+select axis, position, cost from k order by cost, axis, bin limit 1""")
+def bvh_root_split(spark, sf):
+    return bvh.best_splits(table(spark, sf, "order_boxes").withColumn("node", F.lit(0)), BOXES2).select("axis", "position", "cost")
+
+
+@query("bvh_leaves")
+def bvh_leaves(spark, sf):
+    _, nodes = bvh.create(table(spark, sf, "order_boxes"), BOXES2, page=512)
+    return nodes
+
+
+# Tables
+
+
+def _parts(spark: SparkSession, sf: str) -> SpatialTable:
+    return SpatialTable(table(spark, sf, "part_points").where("id % 4 <> 0"), POINTS2)
+
+
+@query("table_add", f"select id, p0, p1, 'row' as state from {sql('part_points')} where id % 4 <> 0 or id % 8 = 0 union all select id, p0, p1, 'rejected' from {sql('part_points')} where id % 8 = 1")
+def table_add(spark, sf):
+    after, rejected = _parts(spark, sf).add(table(spark, sf, "part_points").where("id % 8 in (0, 1)"))
+    return after.rows.withColumn("state", F.lit("row")).unionByName(rejected.withColumn("state", F.lit("rejected")))
+
+
+@query("table_update", f"select id, case when id % 10 = 1 then p0 + 100.0 else p0 end as p0, p1 from {sql('part_points')} where id % 4 <> 0")
+def table_update(spark, sf):
+    changed = table(spark, sf, "part_points").where("id % 10 in (0, 1)").where("id % 10 = 1 or id % 4 = 0").withColumn("p0", F.col("p0") + 100.0)
+    return _parts(spark, sf).update(changed)[0].rows
+
+
+@query("table_erase", f"select id, p0, p1 from {sql('part_points')} where id % 4 <> 0 and not (id % 3 = 0 and id % 2 = 0)")
+def table_erase(spark, sf):
+    """Erases by id and geometry; rows whose geometry is given wrong stay."""
+    ids = table(spark, sf, "part_points").where("id % 3 = 0").select("id", F.when(F.col("id") % 2 == 0, F.col("p0")).otherwise(F.col("p0") + 1).alias("g0"), F.col("p1").alias("g1"))
+    return _parts(spark, sf).erase(ids, GeometrySpec("point", ["g0", "g1"]))[0].rows
+
+
+@query("table_erase_contiguous", f"with x as {sql('part_points')} select id - (select count(*) from x g where g.id % 7 = 2 and g.id < x.id) as id, p0, p1 from x where id % 7 <> 2")
+def table_erase_contiguous(spark, sf):
+    whole = SpatialTable(table(spark, sf, "part_points"), points(2, ids=CONTIGUOUS))
+    return whole.erase(table(spark, sf, "part_points").where("id % 7 = 2").select("id"))[0].rows
+
+
+@query("table_reindex", f"select case when id % 6 = 1 then id + 1000000 else id end as id, p0, p1 from {sql('part_points')} where id % 4 <> 0 and id % 6 <> 2")
+def table_reindex(spark, sf):
+    new = F.when(F.col("id") % 6 == 1, F.col("id") + 1000000)
+    return _parts(spark, sf).update_indexes(table(spark, sf, "part_points").where("id % 6 in (1, 2)").select(F.col("id").alias("old_id"), new.alias("new_id"))).rows
+
+
+@query("table_move", f"select id, p0 + 10.5::double as p0, p1 + (-3.25)::double as p1 from {sql('part_points')} where id % 4 <> 0")
+def table_move(spark, sf):
+    return _parts(spark, sf).move([10.5, -3.25]).rows
+
+
+@query("insert_unique", f"with x as {sql('part_points')}, o as (select * from x where id % 4 <> 0), n as (select id + 1000000 as id, case when id % 2 = 0 then p0 else p0 + 0.25::double end as p0, p1 from x where id % 5 = 0), r as (select * from n where not exists (select 1 from o where o.p0 = n.p0 and o.p1 = n.p1)) select id, p0, p1 from o union all select min(id), p0, p1 from r group by p0, p1")
+def insert_unique(spark, sf):
+    new = table(spark, sf, "part_points").where("id % 5 = 0").select((F.col("id") + 1000000).alias("id"), F.when(F.col("id") % 2 == 0, F.col("p0")).otherwise(F.col("p0") + 0.25).alias("p0"), "p1")
+    return _parts(spark, sf).add_unique(new)[0].rows
