@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 DIRECTIONS = 64
 THRESHOLD = 0.75
 SHARE = 0.12
-FIRST, GROWTH = 1.0, 1.2
+FIRST, GROWTH = 1.0, 1.05
 BLOCK_ROWS = 8192
 BLOCK_QUERIES = 1024
 SEED = 11
@@ -63,7 +63,7 @@ def search_block(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queri
     m = turn.shape[1]
     rest = np.sqrt(np.maximum(longest**2 - (rows**2).sum(axis=1), 0))
     hashed = np.hstack([rows, rest[:, None]]) @ turn
-    order = np.argsort(hashed, axis=0, kind="stable").T.astype(np.int32)  # a sorted array per direction
+    order = np.ascontiguousarray(np.argsort(hashed, axis=0, kind="stable").T)  # a sorted array per direction
     arrays = np.take_along_axis(hashed.T, order, axis=1)
     size = np.sqrt((queries**2).sum(axis=1))
     centres = (queries * (longest / size)[:, None]) @ turn[:-1]
@@ -71,31 +71,34 @@ def search_block(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queri
     wanted = min(n, k + 1 + math.ceil(share * n))
     base = FIRST * longest * math.sqrt(2 / (width + 1))
     widest = 2.5 * longest
-    for query_id, query, centre in zip(query_ids, queries, centres, strict=True):
-        reach = base
-        while True:
+    live, reach = np.arange(len(queries)), base
+    while len(live):
+        if reach < widest:
+            lo = np.stack([np.searchsorted(a, c - reach) for a, c in zip(arrays, centres[live].T, strict=True)]).T.tolist()
+            hi = np.stack([np.searchsorted(a, c + reach, side="right") for a, c in zip(arrays, centres[live].T, strict=True)]).T.tolist()
+        waiting = []
+        for at, i in enumerate(live.tolist()):
             if reach >= widest:
                 found = np.arange(n)
-                break
-            lo = [np.searchsorted(a, c - reach) for a, c in zip(arrays, centre, strict=True)]
-            hi = [np.searchsorted(a, c + reach, side="right") for a, c in zip(arrays, centre, strict=True)]
-            if sum(hi) - sum(lo) > m * n // 2:  # what lies outside is less to count
-                outside = np.concatenate([x for o, a, b in zip(order, lo, hi, strict=True) for x in (o[:a], o[b:])])
-                collisions = m - np.bincount(outside, minlength=n)
             else:
-                collisions = np.bincount(np.concatenate([o[a:b] for o, a, b in zip(order, lo, hi, strict=True)]), minlength=n)
-            found = np.flatnonzero(collisions >= least)
-            if len(found) >= wanted:
-                break
-            reach *= GROWTH
-        found = found[ids[found] != query_id]
-        score = (rows[found] * query).sum(axis=1)
-        if len(found) > k:
-            edge = np.partition(score, len(score) - k)[len(score) - k]
-            keep = score >= edge
-            found, score = found[keep], score[keep]
-        best = np.lexsort((ids[found], -score))[:k]
-        yield query_id, ids[found][best], score[best]
+                if sum(hi[at]) - sum(lo[at]) > m * n // 2:  # what lies outside is less to count
+                    outside = np.concatenate([x for o, a, b in zip(order, lo[at], hi[at], strict=True) for x in (o[:a], o[b:])])
+                    found = np.flatnonzero(np.bincount(outside, minlength=n) <= m - least)
+                else:
+                    inside = np.concatenate([o[a:b] for o, a, b in zip(order, lo[at], hi[at], strict=True)])
+                    found = np.flatnonzero(np.bincount(inside, minlength=n) >= least)
+                if len(found) < wanted:
+                    waiting.append(i)
+                    continue
+            found = found[ids[found] != query_ids[i]]
+            score = (rows[found] * queries[i]).sum(axis=1)
+            if len(found) > k:
+                edge = np.partition(score, len(score) - k)[len(score) - k]
+                keep = score >= edge
+                found, score = found[keep], score[keep]
+            best = np.lexsort((ids[found], -score))[:k]
+            yield query_ids[i], ids[found][best], score[best]
+        live, reach = np.array(waiting, np.int64), reach * GROWTH
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", share: float = SHARE) -> DataFrame:
