@@ -412,9 +412,9 @@ def clean_documents(docs: DataFrame, least: int = LEAST, key: str = "doc_id", te
     Where a passage begins or ends within a character, what is left of it goes too.
     """
     carry = [c for c in docs.columns if c not in (key, text, length)]
-    found = deduplicate(docs.withColumn("had_text", F.col(text).isNotNull()), least, key, text, [*carry, "had_text"])
+    found = deduplicate(docs.withColumn("_gridlark_had_text", F.col(text).isNotNull()), least, key, text, [*carry, "_gridlark_had_text"])
     found = found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes")))
-    whole = F.when(F.col("extra.had_text"), F.col("kept").cast("string"))
+    whole = F.when(F.col("extra._gridlark_had_text"), F.col("kept").cast("string"))
     out = found.select(F.col("doc_id").alias(key), _valid(F.col("n_removed") > 0, whole).alias(text), *(F.col(f"extra.`{c}`").alias(c) for c in carry))
     return out.withColumn(length, F.length(text).cast("long")).select(*docs.columns) if length in docs.columns else out.select(*docs.columns)
 
