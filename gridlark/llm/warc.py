@@ -110,7 +110,7 @@ def write_archives(chunks: DataFrame, folder: str, archive_bytes: int = ARCHIVE_
                 if row["chunk_no"] == 0:
                     if out is None:
                         path = f"{root}/part-{context.partitionId():06d}-{context.taskAttemptId()}-{part:04d}.warc.gz"
-                        out, records, size = store.open_output_stream(path), 0, 0
+                        out, records, size = store.open_output_stream(path, compression=None), 0, 0
                     gz, sha = zlib.compressobj(1, zlib.DEFLATED, 31), hashlib.sha256()
                     left = row["payload_bytes"] if row["record_type"] == "response" else 0
                     put(gz.compress(_header(row)))
@@ -192,7 +192,7 @@ def read_archives(files: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYTES,
     ])
 
     def rows(path: str, store: fs.FileSystem) -> Iterator[dict]:
-        with store.open_input_stream(path) as stream:
+        with store.open_input_stream(path, compression=None) as stream:
             members = _Members(stream)
             while (first := members.line()) is not None:
                 if not first:
