@@ -15,7 +15,8 @@ number of 1e-6, so that sums don't depend on the order of addition.
 
 Calibration: scores of the labelled urls are counted in bins of 0.01 (4001 of
 them); the threshold is the edge with the fewest wrong sides, both labels
-weighing the same, ties to the lowest edge. At or above it a url is accepted.
+weighing the same, ties to the lowest edge; where bins below the edge are empty,
+it is in their middle. At or above it a url is accepted.
 
 Nulls: a null url, or one without `://`, has an empty host and an empty path,
 fits no rule and, being empty, scores 0. Without accepted or without rejected
@@ -114,7 +115,9 @@ def calibrate(scored: DataFrame, label: str = "label") -> DataFrame:
     after = Window.orderBy("bin").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     whole = Window.partitionBy()
     wrong = F.coalesce(F.sum("allow").over(before), F.lit(0)) * F.sum("block").over(whole) + F.sum("block").over(after) * F.sum("allow").over(whole)
-    edges = counted.select((F.col("bin") * BIN).alias("edge"), wrong.alias("wrong"), (F.sum("allow").over(whole) * F.sum("block").over(whole)).alias("both"))
+    # Halfway between an edge and the bin below it that has labelled urls.
+    below = F.coalesce(F.lag("bin").over(Window.orderBy("bin")) + 1, F.col("bin"))
+    edges = counted.select(F.floor((F.col("bin") + below) * BIN / F.lit(2.0)).cast("long").alias("edge"), wrong.alias("wrong"), (F.sum("allow").over(whole) * F.sum("block").over(whole)).alias("both"))
     return edges.where("both > 0").agg(F.min(F.struct("wrong", "edge")).alias("best")).select(F.col("best.edge").alias("threshold"))
 
 

@@ -53,7 +53,7 @@ ug as (select symbols, unnest(generate_series(1, length(symbols))) as pos, conca
 us as (select symbols, cast(floor(cast(sum(ratio) as double) / cast(count(*) as double)) as bigint) as score from ug join model on substring(padded, pos, {n}) = gram group by 1),
 s as (select r2.*, coalesce(us.score, 0) as score from r2 left join us using (symbols)),
 b as (select least(greatest(cast(floor(cast(score as double) / {BIN}) as bigint), -{EDGE_BINS}), {EDGE_BINS}) as bin, sum(case when label = 'allow' then 1 else 0 end) as allow, sum(case when label = 'block' then 1 else 0 end) as block from s where label is not null group by 1),
-w as (select bin * {BIN} as edge, coalesce(sum(allow) over (order by bin rows between unbounded preceding and 1 preceding), 0) * sum(block) over ()
+w as (select cast(floor(cast((bin + coalesce(lag(bin) over (order by bin) + 1, bin)) * {BIN} as double) / 2.0) as bigint) as edge, coalesce(sum(allow) over (order by bin rows between unbounded preceding and 1 preceding), 0) * sum(block) over ()
   + sum(block) over (order by bin rows between current row and unbounded following) * sum(allow) over () as wrong, sum(allow) over () * sum(block) over () as both_n from b),
 l as (select (select edge from w where both_n > 0 order by wrong, edge limit 1) as threshold)
 select page_id, host, path, rule, coalesce(label, case when threshold is null or score >= threshold then 'allow' else 'block' end) as verdict, score, threshold from s cross join l"""
