@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -29,23 +30,58 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/gridlark/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs within are removed when it is done, not when the driver's garbage happens to be collected."""
+    before = spark.conf.get(CLEANUP_CONF, None)
+    spark.conf.set(CLEANUP_CONF, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP_CONF)
+        else:
+            spark.conf.set(CLEANUP_CONF, before)
+
+
+_scratch: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the tables that were staged within it, but those made with keep=True."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
     schema = df.schema
-    df.write.parquet(path)
+    with tidy(spark):
+        df.write.parquet(path)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     return spark.read.schema(schema).parquet(path)
 
 
 def drop_staged(df: DataFrame) -> None:
     """Remove the files behind a table made by staged()."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    roots = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for root in roots:
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(conf).delete(path, True)
+    for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _remove(df.sparkSession, root)
 
 
 def held_out(doc_id: Column | str, folds: int = 5) -> Column:
@@ -87,14 +123,15 @@ def record_batches(rows: Iterable[dict], schema: pa.Schema, size: int = 2000) ->
         yield pa.RecordBatch.from_pylist(block, schema)
 
 
-MAP_BITS = 24
+MAP_BITS = 26
 
 
 def bit_map(rows: DataFrame, column: str) -> np.ndarray:
-    """A bit for each 64-bit hash, by its low bits: 2 MB, however many hashes; each byte is made on the executors."""
+    """A bit for each 64-bit hash, by its low bits: 8 MB, however many hashes; each byte is made on the executors."""
     byte = F.shiftright(F.col(column).bitwiseAND((1 << MAP_BITS) - 1), 3).cast("int")
     bit = F.expr(f"shiftleft(1, cast(`{column}` & 7 as int))")
-    found = rows.select(byte.alias("byte"), bit.alias("bit")).groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()
+    with tidy(rows.sparkSession):
+        found = rows.select(byte.alias("byte"), bit.alias("bit")).groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << (MAP_BITS - 3), np.uint8)
     out[found.column("byte").to_numpy()] = found.column("bits").to_numpy().astype(np.uint8)
     return out

@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import drop_staged, staged
+from gridlark.llm.common import drop_staged, staged, tidy
+
+
+def _mark(edges: DataFrame) -> tuple:
+    """Number and checksum: equal if no edge has changed."""
+    with tidy(edges.sparkSession):
+        return tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,8 +22,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     reduced before they are shuffled, and the joins can be split by Spark.
     """
     e = staged(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    before = None
-    while True:
+    before = _mark(e)
+    while before[0]:
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -25,7 +31,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         own = least.select("u", F.col("m").alias("v"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = staged(own.unionAll(small).distinct(), "edges")
-        mark = after.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
+        mark = _mark(after)
         drop_staged(e)
         e = after
         if before == mark:

@@ -40,11 +40,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import bit_map, has_bit, staged
+from gridlark.llm.common import bit_map, drop_staged, has_bit, staged
 from gridlark.llm.graph import components
 
 SAMPLE_DOCS = 10_000
@@ -53,6 +55,7 @@ MOST_FREQUENT = 1 << 16
 LIST_COST = 8
 CACHE = 300_000
 ROWS = 512
+SIGNATURE_BITS = 2048
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -142,10 +145,20 @@ def heavy_keys(shingles: np.ndarray, frequent: np.ndarray, num: int, den: int) -
     return ordered[:n]
 
 
+def signature(shingles: np.ndarray) -> bytes:
+    """For each of SIGNATURE_BITS classes of hashes, whether the set has an odd number of them: where two signatures differ, so do the sets."""
+    odd = np.bincount((shingles % np.uint64(SIGNATURE_BITS)).astype(np.int64), minlength=SIGNATURE_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _signed(values: np.ndarray) -> np.ndarray:
     return values.astype(np.int64)
 
 
+def _words(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.int64)
+
+
 def frequent_shingles(docs: DataFrame, key: str, text: str, words: int) -> np.ndarray:
     """At most MOST_FREQUENT shingles, from a sample of about SAMPLE_DOCS documents."""
     n = docs.count()
@@ -175,22 +188,23 @@ def _keyed(docs: DataFrame, key: str, text: str, words: int, num: int, den: int,
         for batch in batches:
             for a in range(0, len(batch), ROWS):
                 part = batch.slice(a, ROWS)
-                sizes, nodes, heavy, light = [], [], [], []
+                sizes, nodes, heavy, light, marks = [], [], [], [], []
                 for value in part.column(1):
                     s = own.shingles(value.as_py())
                     n = len(s)
                     sizes.append(n)
                     nodes.append(node_of(s))
+                    marks.append(_words(signature(s)))
                     light.append(_signed(light_keys(s, boundary, num, den) if 0 < n <= boundary else none))
                     heavy.append(_signed(heavy_keys(s, frequent, num, den) if n * den // num > boundary else none))
                 lists = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()), pa.array(heavy, lists), pa.array(light, lists)], ["doc_id", "n", "node", "heavy", "light"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()), pa.array(heavy, lists), pa.array(light, lists), pa.array(marks, lists)], ["doc_id", "n", "node", "heavy", "light", "signature"])
 
-    return source.mapInArrow(run, "doc_id bigint, n int, node bigint, heavy array<bigint>, light array<bigint>")
+    return source.mapInArrow(run, "doc_id bigint, n int, node bigint, heavy array<bigint>, light array<bigint>, signature array<bigint>")
 
 
 def _sets(docs: DataFrame, key: str, text: str, words: int, wanted: DataFrame) -> DataFrame:
-    """node and shingles of the nodes in wanted (node, rep). Others are passed over by a bit map of their ids, then by the join."""
+    """node and shingles of the nodes whose reps are in wanted (rep), picked by a bit map of ids; it may let some others through, which then meet nothing."""
     bits = docs.sparkSession.sparkContext.broadcast(bit_map(wanted.select(F.xxhash64("rep").alias("hash")), "hash"))
     source = docs.select(F.xxhash64(F.col(key).cast("long")).alias("hash"), F.col(text).cast("string").alias("text"))
 
@@ -202,8 +216,30 @@ def _sets(docs: DataFrame, key: str, text: str, words: int, wanted: DataFrame) -
                 found = [own.shingles(batch.column(1)[i].as_py()) for i in rows[a : a + ROWS].tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.int64()), pa.array([_signed(s) for s in found], pa.list_(pa.int64()))], ["node", "shingles"])
 
-    found = source.mapInArrow(run, "node bigint, shingles array<bigint>")
-    return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    return source.mapInArrow(run, "node bigint, shingles array<bigint>")
+
+
+def _entries(keyed: DataFrame, reps: Broadcast, repeated: Broadcast | None = None) -> DataFrame:
+    """The keys of the rows that stand for their node: only `token`, or node, n, at and token of those that the map of repeated ones has."""
+    rows = keyed.where("n > 0").withColumn("rep", F.xxhash64("node", "doc_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = batch.filter(pa.array(has_bit(reps.value, batch.column(0).to_numpy())))
+            if not len(keep):
+                continue
+            for column, ordered in ((3, True), (4, False)):
+                lists = keep.column(column)
+                tokens, counts = lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy()
+                if repeated is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(tokens)], ["token"])
+                    continue
+                row = np.repeat(np.arange(len(keep)), counts)
+                at = np.arange(len(tokens)) - np.repeat(np.cumsum(counts) - counts, counts) if ordered else np.zeros(len(tokens), np.int64)
+                hit = np.flatnonzero(has_bit(repeated.value, tokens))
+                yield pa.RecordBatch.from_arrays([keep.column(1).take(pa.array(row[hit])), keep.column(2).take(pa.array(row[hit])), pa.array(at[hit].astype(np.int32)), pa.array(tokens[hit])], ["node", "n", "at", "token"])
+
+    return rows.select("rep", "node", "n", "heavy", "light").mapInArrow(run, "token bigint" if repeated is None else "node bigint, n int, at int, token bigint")
 
 
 def _may_link(n: Column, m: Column, num: int, den: int) -> Column:
@@ -229,30 +265,48 @@ def classes(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, key: st
     """doc_id, n_shingles and component_id (the least doc_id of the class) of every document."""
     boundary = cost_boundary(num, den)
     keyed = staged(_keyed(docs, key, text, words, num, den, boundary), "jaccard-keys")
+    share = docs.sparkSession.sparkContext.broadcast
     member = keyed.select("doc_id", "n", "node")
-    nodes = keyed.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("heavy").alias("heavy"), F.first("light").alias("light"))
-    heavy = nodes.select("node", "rep", "n", F.posexplode("heavy").alias("at", "token"))
-    light = nodes.select("node", "rep", "n", F.lit(0).alias("at"), F.explode("light").alias("token"))
-    entries = heavy.unionAll(light)
-    heads = entries.groupBy("token").agg(F.count(F.lit(1)).alias("length"), F.min(F.struct("at", "n", "node")).alias("head")).where("length > 1")
+    reps = staged(keyed.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature")), "jaccard-nodes")
+    chosen = share(bit_map(reps.select(F.xxhash64("node", "rep").alias("hash")), "hash"))
+    # Keys that occur once are counted out before anything else about them is shuffled.
+    repeated = share(bit_map(_entries(keyed, chosen).groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "token"))
+    entries = staged(_entries(keyed, chosen, repeated), "jaccard-entries")
+    heads = entries.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.min(F.struct("at", "n", "node")).alias("head")).where("least <> most")
     lists = staged(entries.join(heads.select("token", "head"), "token"), "jaccard-lists")
-    wanted = lists.select("node", "rep").distinct()
-    sets = staged(_sets(docs, key, text, words, wanted), "jaccard-sets")
+    drop_staged(entries)
     # Each node and the head of most of its lists.
     scanned = lists.select("node", "n", "at", F.col("head.node").alias("h_node"), F.col("head.n").alias("h_n"), F.col("head.at").alias("h_at")).where("node <> h_node").where(_may_share("", "h_", num, den))
     pivots = scanned.groupBy("node", "h_node").agg(F.count(F.lit(1)).alias("times")).groupBy("node").agg(F.max(F.struct("times", "h_node")).alias("best"))
-    first = staged(_verified(pivots.select(F.col("node").alias("a"), F.col("best.h_node").alias("b")), sets, num, den), "jaccard-links")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that link, from their whole sets; pairs whose signatures differ in too many places aren't compared."""
+        x = reps.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("signature").alias("a_s"))
+        y = reps.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("signature").alias("b_s"))
+        differ = F.aggregate(F.zip_with("a_s", "b_s", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, c: t + c)
+        whole = F.col("a_n") + F.col("b_n")
+        # Linked sets share at least num / (num + den) of `whole`; the rest, twice over, is what they may differ in.
+        near = differ * (num + den) <= whole * (den - num)
+        pairs = staged(pairs.join(x, "a").join(y, "b").where(near).select("a", "b"), "jaccard-pairs")
+        wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct().join(reps, "node")
+        sets = staged(_sets(docs, key, text, words, wanted), "jaccard-sets")
+        found = staged(_verified(pairs, sets, num, den).distinct(), "jaccard-links")
+        drop_staged(sets)
+        drop_staged(pairs)
+        return found
+
+    first = linked(pivots.select(F.col("node").alias("a"), F.col("best.h_node").alias("b")))
     label = components(first)
     # Lists that still hold different components.
     named = lists.select("token", "node", "n", "at").join(label, "node", "left").select("token", "node", "n", "at", F.coalesce("component", "node").alias("component"))
     named = staged(named, "jaccard-named")
+    drop_staged(lists)
     mixed = named.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("token")
     open_lists = named.join(mixed, "token", "left_semi")
     left = open_lists.select("token", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("at").alias("a_at"), F.col("component").alias("a_component"))
     right = open_lists.select("token", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("at").alias("b_at"), F.col("component").alias("b_component"))
     pairs = left.join(right, "token").where(F.col("a_component") < F.col("b_component")).where(_may_share("a_", "b_", num, den)).select("a", "b").distinct()
-    second = _verified(pairs, sets, num, den)
-    label = components(first.unionAll(second)).select("node", "component")
+    label = components(first.unionAll(linked(pairs))).select("node", "component")
     grouped = staged(member.where("n > 0").join(label, "node", "left").select("doc_id", "n", F.coalesce("component", "node").alias("component")), "jaccard-classes")
     least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     inside = grouped.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
