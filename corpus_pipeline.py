@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridlark.llm.bpe import encode_texts
 from gridlark.llm.bpe_query import vocabulary_path
-from gridlark.llm.common import staged
+from gridlark.llm.common import scratch, staged
 from gridlark.llm.decontam import contaminated
 from gridlark.llm.dedup import clean_documents
 from gridlark.llm.jaccard import classes
@@ -23,8 +23,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates (five words, 0.8) the document with the least id."""
-    found = classes(docs, words=5, num=4, den=5)
-    others = staged(found.where("doc_id <> component_id").select("doc_id"), "near-duplicates")
+    with scratch(spark):
+        found = classes(docs, words=5, num=4, den=5)
+        others = staged(found.where("doc_id <> component_id").select("doc_id"), "near-duplicates", keep=True)
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
