@@ -50,7 +50,7 @@ from gridlark.llm.common import bit_map, drop_staged, has_bit, staged
 from gridlark.llm.graph import components
 
 SAMPLE_DOCS = 10_000
-FREQUENT = 8
+FREQUENT = 3
 MOST_FREQUENT = 1 << 16
 LIST_COST = 8
 CACHE = 300_000
