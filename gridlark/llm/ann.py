@@ -6,8 +6,8 @@ directions (random rotations, fixed seed) is one hash: a sorted array of all
 projections. A query's windows are centred on its own projections. A vector
 collides with the query in a direction if it lies within the window; a vector
 that collides in at least `threshold` of all directions is a candidate and is
-verified by its exact inner product. While there are fewer candidates than asked
-for and `share` of the rows, all windows grow by the same factor (virtual
+verified by its exact inner product. While there are fewer candidates than MANY
+for each neighbour asked for and `share` of the rows, all windows grow by the same factor (virtual
 rehashing). At their widest they hold all rows, so there is no cap.
 
 Rows and queries are dealt into blocks of bounded size by a hash; each block of
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 DIRECTIONS = 64
 THRESHOLD = 0.75
 SHARE = 0.12
+MANY = 16
 FIRST, GROWTH = 1.0, 1.05
 BLOCK_ROWS = 8192
 BLOCK_QUERIES = 1024
@@ -68,7 +69,7 @@ def search_block(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queri
     size = np.sqrt((queries**2).sum(axis=1))
     centres = (queries * (longest / size)[:, None]) @ turn[:-1]
     least = math.ceil(threshold * m)
-    wanted = min(n, k + 1 + math.ceil(share * n))
+    wanted = min(n, MANY * k + math.ceil(share * n))
     base = FIRST * longest * math.sqrt(2 / (width + 1))
     widest = 2.5 * longest
     live, reach = np.arange(len(queries)), base
