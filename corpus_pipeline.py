@@ -30,8 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 400-byte strings that start anywhere else too."""
-    return clean_documents(docs, least=400)
+    """Documents without the passages of over 50 words, and the 400-byte strings, that start anywhere else too."""
+    return clean_documents(docs, least=400, words=51)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

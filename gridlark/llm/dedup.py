@@ -22,6 +22,11 @@ work. An anchor with more than CHUNK contexts is dealt to several blocks; window
 not repeated within their block, and one of each that is, then meet by a 128-bit
 hash, so that no anchor has to fit into one task.
 
+With `words`, passages of that many words that stand anywhere else too are
+removed as well, however few bytes they have and whatever white space is between
+the words. Texts are then also indexed as CODE bytes of hash for each word, as
+above; equal windows of such bytes are equal words but for one pair in 2^48.
+
 Nulls: a null text is empty. Texts shorter than `least` bytes keep all. A null id
 stays null. Repeated rows are equal texts. An empty table gives no rows.
 """
@@ -29,6 +34,7 @@ stays null. Repeated rows are equal texts. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +53,9 @@ SAMPLED = 32
 CHUNK = 2048
 BLOCK_BYTES = 1_000_000
 PIECE = 1 << 17
+CODE = 6
+VOCABULARY = 100_000
+_WORD = re.compile(r"\S+")
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 
@@ -126,18 +135,31 @@ def _halves(digest: bytes) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def _prepared(docs: DataFrame, key: str, text: str, least: int, carry: list[str]) -> DataFrame:
-    """Per row: id, the text's name (t1, t2), bytes, what windows_of() finds, and the carried columns as a struct."""
+def _codes(own: bytes, known: dict[str, int]) -> np.ndarray:
+    """CODE bytes for each word of a text, with a bounded table of words."""
+    words = own.decode("utf-8", "surrogateescape").split()
+    if len(known) > VOCABULARY:
+        known.clear()
+    for w in set(words).difference(known):
+        known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogateescape"))
+    hashes = np.array([known[w] for w in words], _U)
+    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :CODE]).reshape(-1)
+
+
+def _prepared(docs: DataFrame, key: str, text: str, least: int, carry: list[str], coded: bool = False) -> DataFrame:
+    """Per row: id, the text's name (t1, t2), bytes (coded: its words' codes), what windows_of() finds, and the carried columns as a struct."""
     extra = F.struct(*(F.col(c) for c in carry)) if carry else F.struct(F.lit(True).alias("none"))
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("bytes"), extra.alias("extra"))
     kind = source.schema["extra"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
+        known: dict[str, int] = {}
         for batch in batches:
             for first in range(0, len(batch), 256):
                 part = batch.slice(first, 256)
-                data, offsets = text_bytes(part.column(1))
+                own = part.column(1) if not coded else pa.array([_codes(x.as_buffer().to_pybytes(), known).tobytes() for x in part.column(1)], pa.binary())
+                data, offsets = text_bytes(own)
                 names, lists = [], [[], [], [], [], []]
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                     names.append(_halves(xxhash.xxh3_128_digest(data[a:b].tobytes())))
@@ -146,7 +168,7 @@ def _prepared(docs: DataFrame, key: str, text: str, least: int, carry: list[str]
                 t1, t2 = zip(*names, strict=True)
                 kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 arrays = [pa.array(c, pa.list_(k)) for c, k in zip(([x.astype(np.int32) if k == pa.int32() else x for x in c] for c, k in zip(lists, kinds, strict=True)), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), *arrays, part.column(1), part.column(2)], ["doc_id", "t1", "t2", "starts", "anchors", "places", "at", "sampled", "bytes", "extra"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), *arrays, own, part.column(2)], ["doc_id", "t1", "t2", "starts", "anchors", "places", "at", "sampled", "bytes", "extra"])
 
     return source.mapInArrow(run, f"doc_id bigint, t1 bigint, t2 bigint, starts array<int>, anchors array<bigint>, places array<bigint>, at array<int>, sampled array<bigint>, bytes binary, extra {kind}")
 
@@ -369,10 +391,29 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def deduplicate(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
+def repeated_words(rows: DataFrame, words: int) -> DataFrame:
+    """t1, t2 and coded (array of from and to in bytes of its codes) of every text of _prepared() that has repeated windows of so many words."""
+    coded = staged(_prepared(rows, "doc_id", "bytes", words * CODE, ["t1", "t2"], coded=True), "dedup-words")
+    spans = repeated_spans(coded.drop("extra"), words * CODE).withColumnRenamed("spans", "coded")
+    return coded.select("t1", "t2", "extra").join(spans, ["t1", "t2"]).select("extra.t1", "extra.t2", "coded").dropDuplicates(["t1", "t2"])
+
+
+def _byte_spans(own: bytes, coded: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of codes as the bytes from their first word to their last."""
+    if not coded:
+        return []
+    text = own.decode("utf-8", "surrogateescape")
+    places = [m.span() for m in _WORD.finditer(text)]
+    at = lambda i: len(text[:i].encode("utf-8", "surrogateescape"))
+    return [(at(places[-(-a // CODE)][0]), at(places[b // CODE - 1][1])) for a, b in merged(coded)]
+
+
+def deduplicate(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text", carry: list[str] | None = None, words: int = 0) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), kept_sha256 and extra (a struct of the columns to carry) of every row."""
     rows = staged(_prepared(docs, key, text, least, carry or []), "dedup-rows")
-    spans = repeated_spans(rows.drop("extra"), least)
+    spans = repeated_spans(rows.drop("extra"), least).withColumn("coded", F.lit(None).cast("array<struct<from:int,to:int>>"))
+    if words:
+        spans = staged(spans.drop("coded").join(repeated_words(rows, words), ["t1", "t2"], "full"), "dedup-both")
     slim = rows.select("doc_id", "t1", "t2", "bytes", "extra")
     kind = slim.schema["extra"].dataType.simpleString()
     found = slim.sparkSession.sparkContext.broadcast(bit_map(spans.select("t1"), "t1"))
@@ -387,32 +428,32 @@ def deduplicate(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text:
     # Only texts that have spans, or may have, are shuffled.
     nothing = F.lit(0).cast("long")
     whole = split(False).select("doc_id", F.octet_length("bytes").cast("long").alias("n_bytes"), nothing.alias("n_removed"), nothing.alias("n_spans"), F.col("bytes").alias("kept"), F.sha2("bytes", 256).alias("kept_sha256"), "extra")
-    joined = split(True).join(spans, ["t1", "t2"], "left").select("doc_id", "bytes", F.transform("spans", lambda s: s["from"]).alias("from"), F.transform("spans", lambda s: s["to"]).alias("to"), "extra")
+    joined = split(True).join(spans, ["t1", "t2"], "left").select("doc_id", "bytes", "spans.from", "spans.to", F.col("coded.from").alias("coded_from"), F.col("coded.to").alias("coded_to"), "extra")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, len(batch), 256):
                 part = batch.slice(first, 256)
                 out: list[list] = [[], [], [], [], []]
-                for own, a, b in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    runs = merged(list(zip(a or [], b or [], strict=True)))
+                for own, a, b, c, d in zip(*(part.column(i).to_pylist() for i in range(1, 6)), strict=True):
+                    runs = merged([*zip(a or [], b or [], strict=True), *_byte_spans(own, list(zip(c or [], d or [], strict=True)))])
                     edges = [0, *(x for r in runs for x in r), len(own)]
                     kept = b"".join(own[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
                     for column, v in zip(out, (len(own), len(own) - len(kept), len(runs), kept, hashlib.sha256(kept).hexdigest()), strict=True):
                         column.append(v)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True)), part.column(4)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "extra"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True)), part.column(6)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "extra"])
 
     return whole.unionAll(joined.mapInArrow(cut, f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string, extra {kind}"))
 
 
-def clean_documents(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
+def clean_documents(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text", length: str = "n_chars", words: int = 0) -> DataFrame:
     """The documents without their repeated passages, with the same columns; those that lose all their text go.
 
     Where a passage begins or ends within a character, what is left of it goes too.
     """
     carry = [c for c in docs.columns if c not in (key, text, length)]
-    found = deduplicate(docs.withColumn("_gridlark_had_text", F.col(text).isNotNull()), least, key, text, [*carry, "_gridlark_had_text"])
+    found = deduplicate(docs.withColumn("_gridlark_had_text", F.col(text).isNotNull()), least, key, text, [*carry, "_gridlark_had_text"], words)
     found = found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes")))
     whole = F.when(F.col("extra._gridlark_had_text"), F.col("kept").cast("string"))
     out = found.select(F.col("doc_id").alias(key), _valid(F.col("n_removed") > 0, whole).alias(text), *(F.col(f"extra.`{c}`").alias(c) for c in carry))
