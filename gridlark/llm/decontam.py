@@ -3,9 +3,10 @@
 Texts are split at white space. A token loses the marks around it and its case;
 numbers, quantities, units after a number, and names become typed placeholders
 (<num>, <qty>, <unit>, <name>). A name is a capitalised word that doesn't begin a sentence. Windows of `window`
-tokens (shorter items: all their tokens) are joined by a hash of the
-template. Windows of which more than `most_slots` tokens are slots are left out,
-as they say too little.
+tokens (shorter items: all their tokens) are joined by hashes of their readings:
+* the literal tokens, whatever they are; so whole copies always meet;
+* templates of at most `most_slots` placeholders; with more a window whose values
+  differ says too little.
 
 Matched windows of a document's row and an item with the same shift are one
 alignment. Each run of windows that follow one another counts if what an item's
@@ -138,10 +139,11 @@ class Readings:
         for first in range(0, len(places), PIECE):
             at = places[first : first + PIECE]
             numeric, names = (c[at + size] - c[at] for c in self.counts)
+            yield at, _mixed(_combined(self.literal, at, powers))
             few = numeric + names <= most
-            at = at[few]
+            at, slots = at[few], (numeric + names)[few]
             total = _combined(self.template, at, powers)
-            yield at, _mixed(total)
+            yield at[slots > 0], _mixed(total[slots > 0])
 
 
 def _windows(table: DataFrame, key: str, text: str, sizes: list[int] | None, bits: np.ndarray | None, window: int) -> DataFrame:

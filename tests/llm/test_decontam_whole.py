@@ -25,3 +25,9 @@ def test_part_changed_alignments(spark):
     twice = "then Anna gave 12 of the nuts in her bag to the poor old man at the gate"
     found = kinds(spark, [" ".join(edited), equal.replace("12", "7").replace("5 ", "7 "), (2, twice.replace("12", "20")), (2, twice.replace("12", "30"))], [" ".join(long), equal, twice])
     assert set(found) == {(0, 0), (1, 1), (2, 2)} and found[1, 1] == found[2, 2] == "reparameterised"
+
+
+def test_windows_dense_in_slots(spark):
+    dense = ["Convert 5 km 3 m 20 cm", "on 12/03 14:20 and 13/03 15:40 and 14/03 16:10 then 15/03 17:30 end", "die Liste nennt Hans Otto Karl Emil Fritz Paul Kurt Ernst Willi Georg"]
+    found = kinds(spark, [*("words before it " + d + " and after" for d in dense), "Convert 6 km 4 m 30 cm"], dense)
+    assert found == {(i, i): "verbatim" for i in range(3)}
