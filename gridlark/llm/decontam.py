@@ -2,11 +2,13 @@
 
 Texts are split at white space. A token loses the marks around it and its case;
 numbers, quantities, units after a number, and names become typed placeholders
-(<num>, <qty>, <unit>, <name>). A name is a capitalised word that doesn't begin a sentence. Windows of `window`
+(<num>, <qty>, <unit>, <name>). A name is a capitalised word. Windows of `window`
 tokens (shorter items: all their tokens) are joined by hashes of their readings:
 * the literal tokens, whatever they are; so whole copies always meet;
 * templates of at most `most_slots` placeholders; with more a window whose values
-  differ says too little.
+  differ says too little. A capitalised word that begins a sentence, and any of
+  an item, is read both as itself and as <name>, in all combinations;
+* the template with all names read as themselves, for texts in another case.
 
 Matched windows of a document's row and an item with the same shift are one
 alignment. Each run of windows that follow one another counts if what an item's
@@ -112,7 +114,7 @@ def _mixed(total: np.ndarray) -> np.ndarray:
 class Readings:
     """The readings of the tokens of some texts, as window hashes."""
 
-    def __init__(self, own: Canonicaliser, ids: np.ndarray, starts: np.ndarray):
+    def __init__(self, own: Canonicaliser, ids: np.ndarray, starts: np.ndarray, item: bool):
         flags = own.flags[ids]
         kind = flags & 7
         begins = np.zeros(len(ids) + 1, bool)
@@ -124,7 +126,9 @@ class Readings:
         self.literal = own.hashes[ids]
         self.cased = np.select([kind == IS_NUMBER, kind == IS_QUANTITY, numeric], [_U(NUMBER), _U(QUANTITY), _U(UNIT)], self.literal)
         name = kind == IS_NAME
-        self.names = name & ~first
+        #: Names that are read both ways, and those that are always <name>.
+        self.either = name if item else name & first
+        self.names = name & ~self.either
         self.template = np.where(self.names, _U(NAME), self.cased)
         self.counts = [np.concatenate([[0], np.cumsum(x)]) for x in (numeric, self.names)]
         self.text = np.cumsum(begins)
@@ -140,9 +144,15 @@ class Readings:
             at = places[first : first + PIECE]
             numeric, names = (c[at + size] - c[at] for c in self.counts)
             yield at, _mixed(_combined(self.literal, at, powers))
+            cased = at[(names > 0) & (numeric > 0) & (numeric <= most)]
+            yield cased, _mixed(_combined(self.cased, cased, powers))
             few = numeric + names <= most
             at, slots = at[few], (numeric + names)[few]
             total = _combined(self.template, at, powers)
+            for k in range(size):
+                more = np.flatnonzero(self.either[at + k] & (slots < most))
+                name = (_U(NAME) - self.literal[at[more] + k]) * powers[k]
+                at, slots, total = np.concatenate([at, at[more]]), np.concatenate([slots, slots[more] + 1]), np.concatenate([total, total[more] + name])
             yield at[slots > 0], _mixed(total[slots > 0])
 
 
@@ -157,7 +167,7 @@ def _windows(table: DataFrame, key: str, text: str, sizes: list[int] | None, bit
             for first, last in byte_slices(offsets, BLOCK_BYTES if sizes is not None else 0):
                 keys, texts = batch.column(0)[first:last].to_pylist(), batch.column(1)[first:last].to_pylist()
                 ids, starts = own.tokens(texts)
-                readings = Readings(own, ids, starts)
+                readings = Readings(own, ids, starts, sizes is None)
                 out: list[list] = [[], [], [], [], [], [], []]
                 for size in [min(window, len(ids))] if sizes is None else sizes:
                     for at, found in readings.windows(size):
