@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -78,6 +80,14 @@ def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def release() -> None:
+    """Give the memory of what is no longer used back, at the end of a task: Python workers live on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def drop_staged(df: DataFrame) -> None:
     """Remove the files behind a table made by staged()."""
     for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

@@ -24,7 +24,7 @@ def texts():
 
 @pytest.fixture(scope="module")
 def encoder():
-    return bpe.Encoder(bpe.load_vocabulary(vocabulary_path()))
+    return bpe.Encoder(bpe.Automaton(bpe.load_vocabulary(vocabulary_path())))
 
 
 def test_ids_are_those_of_the_library(encoder, texts):
@@ -47,23 +47,56 @@ def test_ids_are_those_of_the_library(encoder, texts):
 
 def test_automaton_accepts_correct_tokenizations_only(encoder):
     automaton = encoder.automaton
+    names = {label: i for i, label in enumerate(automaton.arcs.to_pylist()) if automaton.alive[i]}
     rng = random.Random(2)
     for _ in range(300):
         word = bytes(rng.choice(b"ein therand") for _ in range(rng.randrange(1, 12)))
-        right = automaton.encode(word)
+        right = automaton.encode([word])[0].tolist()
 
         def spell(at):
             if at == len(word):
                 yield []
             for end in range(at + 1, len(word) + 1):
-                if (label := automaton.ids.get(word[at:end])) is not None:
+                if (label := names.get(word[at:end])) is not None:
                     for rest in spell(end):
                         yield [label, *rest]
 
-        accepted = [s for s in spell(0) if automaton.alive.get(s[0], True) and all(automaton.has_arc(a, 1 << 60, b) for a, b in zip(s, s[1:], strict=False))]
+        accepted = [s for s in spell(0) if automaton.has_arc(np.array([-1, *s[:-1]], np.int32), np.array(s, np.int32)).all()]
         assert accepted == [right]
 
 
+def merged_by_rank(word, ranks):
+    """The plain way: the earliest merge first, from the left."""
+    out = [bytes([b]) for b in word]
+    while len(out) > 1:
+        m, i = min((ranks.get((a, b), 1 << 30), i) for i, (a, b) in enumerate(zip(out, out[1:], strict=False)))
+        if m == 1 << 30:
+            break
+        out[i : i + 2] = [out[i] + out[i + 1]]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_automata_of_any_merges(seed, monkeypatch):
+    """Random vocabularies, dead merges among them; long words go piece by piece."""
+    monkeypatch.setattr(bpe, "LONG_PIECE", 7)
+    rng = random.Random(seed)
+    labels, merges, ranks = {i: bytes([b]) for i, b in enumerate(b"abc")}, [], {}
+    for _ in range(60):
+        u, v = rng.choice(list(labels)), rng.choice(list(labels))
+        if labels[u] + labels[v] not in labels.values():
+            w = len(labels)
+            labels[w] = labels[u] + labels[v]
+            ranks[labels[u], labels[v]] = len(merges)
+            merges.append((u, v, w))
+    automaton = bpe.Automaton({"labels": labels, "merges": merges, "special": {}})
+    words = [bytes(rng.choice(b"abc") for _ in range(rng.choice([0, 1, 2, 5, 16, 17, 40, 64, 65, 200]))) for _ in range(200)]
+    ids, counts = automaton.encode(words)
+    ends = np.cumsum(counts).tolist()
+    for word, a, b in zip(words, [0, *ends[:-1]], ends, strict=True):
+        assert [labels[i] for i in ids[a:b].tolist()] == merged_by_rank(word, ranks)
+
+
 def test_latin_pattern_is_the_pattern(encoder):
     low = "".join(map(chr, range(0x250)))
     for text in (low, low[::-1], " ".join(low), "'".join(low)):
