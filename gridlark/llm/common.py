@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ _scratch: list[list[str]] = []
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Removes at its end the tables that were staged within it, but those made with keep=True."""
+    """Removes at its end the tables that were staged within it; those made with keep=True at the end of the next outer one, if there is one."""
     _scratch.append([])
     try:
         yield
@@ -75,8 +76,8 @@ def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     schema = df.schema
     with tidy(spark):
         df.write.parquet(path)
-    if _scratch and not keep:
-        _scratch[-1].append(path)
+    if len(_scratch) > keep:
+        _scratch[-1 - keep].append(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -133,21 +134,54 @@ def record_batches(rows: Iterable[dict], schema: pa.Schema, size: int = 2000) ->
         yield pa.RecordBatch.from_pylist(block, schema)
 
 
-MAP_BITS = 26
+#: Bits of the maps and counters of the tables below: by the number of rows they are about, within these bounds.
+LEAST_BITS, MOST_BITS = 16, 29
+BLOCK_BITS = 19
 
 
-def bit_map(rows: DataFrame, column: str) -> np.ndarray:
-    """A bit for each 64-bit hash, by its low bits: 8 MB, however many hashes; each byte is made on the executors."""
-    byte = F.shiftright(F.col(column).bitwiseAND((1 << MAP_BITS) - 1), 3).cast("int")
-    bit = F.expr(f"shiftleft(1, cast(`{column}` & 7 as int))")
+def map_bits(rows: int, each: int = 64) -> int:
+    """Bits (as a power of two) of a map for so many rows with about each / 4 keys: at most 64 MB."""
+    return min(MOST_BITS, max(LEAST_BITS, (max(1, rows) * each - 1).bit_length()))
+
+
+def bit_map(rows: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bit for each 64-bit hash, by its low `bits` bits. Blocks of 64 KB are made on the executors; the driver gets those."""
+    block = min(bits, BLOCK_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            place = batch.column(0).to_numpy()
+            for b in np.unique(place >> block).tolist():
+                inside = place[place >> block == b] & ((1 << block) - 1)
+                marks = np.zeros(1 << block, bool)
+                marks[inside] = True
+                found = np.packbits(marks, bitorder="little")
+                own[b] = own[b] | found if b in own else found
+        for b, found in own.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([found.tobytes()], pa.binary())], ["block", "bits"])
+
+    place = rows.select(F.col(column).bitwiseAND((1 << bits) - 1).cast("int").alias("place"))
+    out = np.zeros(1 << (bits - 3), np.uint8)
     with tidy(rows.sparkSession):
-        found = rows.select(byte.alias("byte"), bit.alias("bit")).groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    out[found.column("byte").to_numpy()] = found.column("bits").to_numpy().astype(np.uint8)
+        dealt = place.repartition(max(1, min(32, 1 << (bits - block))), F.shiftright("place", block))
+        found = dealt.mapInArrow(run, "block int, bits binary").toArrow()
+    for b, raw in zip(found.column("block").to_pylist(), found.column("bits").to_pylist(), strict=True):
+        out[b << (block - 3) : (b + 1) << (block - 3)] = np.frombuffer(raw, np.uint8)
     return out
 
 
 def has_bit(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which of these 64-bit hashes the map may hold."""
-    place = hashes.astype(np.int64) & ((1 << MAP_BITS) - 1)
+    place = hashes.astype(np.int64) & (8 * len(bits) - 1)
     return ((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+@contextlib.contextmanager
+def shared_value(spark: SparkSession, value: object) -> Iterator[Broadcast]:
+    """A broadcast value, of a size that the caller has bounded, which is destroyed at the end; what reads it is done by then."""
+    out = spark.sparkContext.broadcast(value)
+    try:
+        yield out
+    finally:
+        out.destroy()

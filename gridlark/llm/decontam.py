@@ -48,6 +48,7 @@ COVER = 0.5
 CACHE = 400_000
 BLOCK_BYTES = 1 << 20
 PIECE = 1 << 15
+MAP_BITS = 26
 _U = np.uint64
 
 #: Units of measure that may follow a number.
@@ -232,7 +233,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     """doc_id, item_id, n_windows, run_tokens, covered_tokens, item_tokens and kind (verbatim or reparameterised) of every contaminated document and item."""
     known = _windows(items, item_key, item_text, None, None, window).select(F.col("id").alias("item_id"), F.col("row").alias("item_row"), F.col("tokens").alias("item_tokens"), F.col("at").alias("item_at"), "size", "hash", F.col("words").alias("item_words"))
     sizes = sorted(r["size"] for r in known.select("size").distinct().collect())
-    bits = bit_map(known, "hash")
+    bits = bit_map(known, "hash", MAP_BITS)
     found = _windows(docs, key, text, sizes, bits, window).select(F.col("id").alias("doc_id"), "row", "at", "size", "hash", "words")
     met = found.join(known, ["hash", "size"]).withColumn("shift", F.col("at") - F.col("item_at"))
     item = ["doc_id", "item_id", "item_row", "item_tokens", "size"]

@@ -12,9 +12,11 @@ Candidates, exactly:
 * Heavy sets: two sets that link share a shingle among the first
   n - ceil(num * n / den) + 1 of each, in any one order of all shingles. These
   prefixes make inverted lists, scanned with bounds on size and position. The
-  order puts shingles that are frequent in a sample last, which keeps lists
-  short; the sample decides about nothing else. Light sets that a heavy one may
-  link with are in the lists too.
+  order puts frequent shingles last, which keeps lists short. Frequencies are
+  counted over all distinct sets, in a table of counters whose size grows with
+  the number of documents up to MOST_COUNTERS; shingles that share a counter are
+  counted together, which changes the order of both alike and no result. Light
+  sets that a heavy one may link with are in the lists too.
 * The boundary is the largest size at which giving all subsets costs less than
   scanning the lists, at `list_cost` entries a list.
 
@@ -26,8 +28,8 @@ are of whole sets. Classes are connected components, found without collecting
 anything.
 
 Nulls: a null text, like one without words, has an empty set (0 shingles), links
-with nothing and is its own class. A null id is not a class's name unless all its
-members' ids are null. Rows with equal ids are rows of one document: if their texts
+with nothing and is its own class. A null id is the name of a class only if all its
+members' ids are null; what a row links with is decided by its text. Rows with equal ids are rows of one document: if their texts
 differ, each row goes by its own text. Repeated rows are in one class. An empty
 table gives no rows.
 """
@@ -35,6 +37,7 @@ table gives no rows.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -46,12 +49,12 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import bit_map, drop_staged, has_bit, staged
+from gridlark.llm.common import bit_map, drop_staged, has_bit, map_bits, release, scratch, shared_value, staged, tidy
 from gridlark.llm.graph import components
 
-SAMPLE_DOCS = 10_000
-FREQUENT = 3
-MOST_FREQUENT = 1 << 16
+#: Counters of shingles: of 32-bit numbers while they are added up, one byte each (a logarithm) when they are shared.
+LEAST_COUNTERS, MOST_COUNTERS, COUNTER_BLOCK = 16, 25, 16
+FLUSH = 1 << 22
 LIST_COST = 8
 CACHE = 300_000
 ROWS = 512
@@ -133,16 +136,10 @@ def light_keys(shingles: np.ndarray, boundary: int, num: int, den: int) -> np.nd
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
-def heavy_keys(shingles: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The prefix of a set: the first shingles by frequency in the sample, then by hash."""
-    n = prefix_length(len(shingles), num, den)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
-        common = frequent[at] == shingles
-        ordered = np.concatenate([shingles[~common], shingles[common]])
-    else:
-        ordered = shingles
-    return ordered[:n]
+def heavy_keys(shingles: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The prefix of a set: its first shingles by frequency, then by hash. counts: the shared table of counters."""
+    own = counts[(shingles & np.uint64(len(counts) - 1)).astype(np.int64)]
+    return shingles[np.argsort(own, kind="stable")[: prefix_length(len(shingles), num, den)]]
 
 
 def signature(shingles: np.ndarray) -> bytes:
@@ -159,87 +156,124 @@ def _words(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.int64)
 
 
-def frequent_shingles(docs: DataFrame, key: str, text: str, words: int) -> np.ndarray:
-    """At most MOST_FREQUENT shingles, from a sample of about SAMPLE_DOCS documents."""
-    n = docs.count()
-    part = docs.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) < int(min(1.0, SAMPLE_DOCS / max(1, n)) * (1 << 30))).select(text)
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    return pa.array([_signed(v) for v in values], pa.list_(pa.int64()))
+
+
+def _shingled(docs: DataFrame, key: str, text: str, words: int, carry: list[str]) -> DataFrame:
+    """doc_id, n, node, shingles (as bytes) and extra (a struct of the columns to carry) of every row."""
+    extra = F.struct(*(F.col(c) for c in carry)) if carry else F.struct(F.lit(True).alias("none"))
+    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), extra.alias("extra"))
+    kind = source.schema["extra"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Shingler(words)
         for batch in batches:
-            for a in range(0, len(batch), 64):
-                found = [own.shingles(x.as_py()) for x in batch.column(0)[a : a + 64]]
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(found)))], ["shingle"])
+            for a in range(0, len(batch), ROWS):
+                part = batch.slice(a, ROWS)
+                sets = [own.shingles(x.as_py()) for x in part.column(1)]
+                sizes, nodes = pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), sizes, nodes, pa.array([s.tobytes() for s in sets], pa.binary()), part.column(2)], ["doc_id", "n", "node", "shingles", "extra"])
+        release()
 
-    counts = part.mapInArrow(run, "shingle bigint").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
-    rows = counts.orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).select("shingle").toArrow()
-    return np.sort(rows.column(0).to_numpy().astype(np.uint64))
+    return source.mapInArrow(run, f"doc_id bigint, n bigint, node bigint, shingles binary, extra {kind}")
 
 
-def _keyed(docs: DataFrame, key: str, text: str, words: int, num: int, den: int, boundary: int) -> DataFrame:
-    """doc_id, n, node, heavy and light of every document."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(frequent_shingles(docs, key, text, words))
-    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+def _sets(batch: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
+    for x in batch.column(column):
+        yield np.frombuffer(x.as_buffer() or b"", np.uint64)
+
+
+def counted_shingles(sets: DataFrame, rows: int) -> np.ndarray:
+    """The counters of all shingles (column `shingles`, as bytes), as logarithms of one byte, for sets of so many documents."""
+    bits = min(MOST_COUNTERS, max(LEAST_COUNTERS, (64 * max(1, rows) - 1).bit_length()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            place = np.sort(np.concatenate(held))
+            blocks = place >> COUNTER_BLOCK
+            edges = np.concatenate([[0], np.flatnonzero(blocks[1:] != blocks[:-1]) + 1, [len(place)]])
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                found = np.bincount(place[a:b] & ((1 << COUNTER_BLOCK) - 1), minlength=1 << COUNTER_BLOCK).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([pa.array([int(blocks[a])], pa.int32()), pa.array([zlib.compress(found.tobytes(), 1)], pa.binary())], ["block", "counts"])
+
+        for batch in batches:
+            for a in range(0, len(batch), ROWS):
+                held.append((np.concatenate(list(_sets(batch.slice(a, ROWS), 0))) & np.uint64((1 << bits) - 1)).astype(np.int32))
+                if sum(map(len, held)) >= FLUSH:
+                    yield from flush()
+                    held = []
+        if sum(map(len, held)):
+            yield from flush()
+        del held
+        release()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = np.frombuffer(zlib.decompress(raw.as_buffer()), np.uint32)
+                own[b] = own[b] + found if b in own else found.astype(np.uint64)
+        for b, found in own.items():
+            level = np.minimum(255, np.round(8 * np.log2(found + 1.0))).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["block", "levels"])
+
+    out = np.zeros(1 << bits, np.uint8)
+    parts = max(1, min(64, 1 << (bits - COUNTER_BLOCK)))
+    with tidy(sets.sparkSession):
+        found = sets.select("shingles").mapInArrow(count, "block int, counts binary").repartition(parts, "block").mapInArrow(add, "block int, levels binary").toArrow()
+    for b, raw in zip(found.column("block").to_pylist(), found.column("levels").to_pylist(), strict=True):
+        out[b << COUNTER_BLOCK : (b + 1) << COUNTER_BLOCK] = np.frombuffer(raw, np.uint8)
+    return out
+
+
+def _keyed(nodes: DataFrame, counts: Broadcast, num: int, den: int, boundary: int) -> DataFrame:
+    """node, n, heavy, light and signature of every node (node, n, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, frequent = Shingler(words), shared.value
         none = np.zeros(0, np.uint64)
         for batch in batches:
             for a in range(0, len(batch), ROWS):
                 part = batch.slice(a, ROWS)
-                sizes, nodes, heavy, light, marks = [], [], [], [], []
-                for value in part.column(1):
-                    s = own.shingles(value.as_py())
-                    n = len(s)
-                    sizes.append(n)
-                    nodes.append(node_of(s))
-                    marks.append(_words(signature(s)))
-                    light.append(_signed(light_keys(s, boundary, num, den) if 0 < n <= boundary else none))
-                    heavy.append(_signed(heavy_keys(s, frequent, num, den) if n * den // num > boundary else none))
-                lists = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()), pa.array(heavy, lists), pa.array(light, lists), pa.array(marks, lists)], ["doc_id", "n", "node", "heavy", "light", "signature"])
-
-    return source.mapInArrow(run, "doc_id bigint, n int, node bigint, heavy array<bigint>, light array<bigint>, signature array<bigint>")
-
-
-def _sets(docs: DataFrame, key: str, text: str, words: int, wanted: DataFrame) -> DataFrame:
-    """node and shingles of the nodes whose reps are in wanted (rep), picked by a bit map of ids; it may let some others through, which then meet nothing."""
-    bits = docs.sparkSession.sparkContext.broadcast(bit_map(wanted.select(F.xxhash64("rep").alias("hash")), "hash"))
-    source = docs.select(F.xxhash64(F.col(key).cast("long")).alias("hash"), F.col(text).cast("string").alias("text"))
+                sets = list(_sets(part, 2))
+                heavy = [heavy_keys(s, counts.value, num, den) if len(s) * den // num > boundary else none for s in sets]
+                light = [light_keys(s, boundary, num, den) if len(s) <= boundary else none for s in sets]
+                marks = pa.array([_words(signature(s)) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _lists(heavy), _lists(light), marks], ["node", "n", "heavy", "light", "signature"])
+        release()
+
+    return nodes.select("node", "n", "shingles").mapInArrow(run, "node bigint, n bigint, heavy array<bigint>, light array<bigint>, signature array<bigint>")
+
+
+def _chosen_sets(sets: DataFrame, wanted: Broadcast, where: str) -> DataFrame:
+    """node, n and shingles of the rows whose hash (an expression) the map has; it may let some others through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Shingler(words)
         for batch in batches:
-            rows = np.flatnonzero(has_bit(bits.value, batch.column(0).to_numpy()))
-            for a in range(0, len(rows), ROWS):
-                found = [own.shingles(batch.column(1)[i].as_py()) for i in rows[a : a + ROWS].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.int64()), pa.array([_signed(s) for s in found], pa.list_(pa.int64()))], ["node", "shingles"])
+            yield batch.filter(pa.array(has_bit(wanted.value, batch.column(0).to_numpy())))
 
-    return source.mapInArrow(run, "node bigint, shingles array<bigint>")
+    return sets.where("n > 0").select(F.expr(where).alias("hash"), "node", "n", "shingles").mapInArrow(run, "hash bigint, node bigint, n bigint, shingles binary").drop("hash")
 
 
-def _entries(keyed: DataFrame, reps: Broadcast, repeated: Broadcast | None = None) -> DataFrame:
-    """The keys of the rows that stand for their node: only `token`, or node, n, at and token of those that the map of repeated ones has."""
-    rows = keyed.where("n > 0").withColumn("rep", F.xxhash64("node", "doc_id"))
+def _entries(keyed: DataFrame, repeated: Broadcast | None = None) -> DataFrame:
+    """The keys of the nodes: only `token`, or node, n, at and token of those that the map of repeated ones has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = batch.filter(pa.array(has_bit(reps.value, batch.column(0).to_numpy())))
-            if not len(keep):
-                continue
-            for column, ordered in ((3, True), (4, False)):
-                lists = keep.column(column)
+            for column, ordered in ((2, True), (3, False)):
+                lists = batch.column(column)
                 tokens, counts = lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy()
                 if repeated is None:
                     yield pa.RecordBatch.from_arrays([pa.array(tokens)], ["token"])
                     continue
-                row = np.repeat(np.arange(len(keep)), counts)
+                row = np.repeat(np.arange(len(batch)), counts)
                 at = np.arange(len(tokens)) - np.repeat(np.cumsum(counts) - counts, counts) if ordered else np.zeros(len(tokens), np.int64)
                 hit = np.flatnonzero(has_bit(repeated.value, tokens))
-                yield pa.RecordBatch.from_arrays([keep.column(1).take(pa.array(row[hit])), keep.column(2).take(pa.array(row[hit])), pa.array(at[hit].astype(np.int32)), pa.array(tokens[hit])], ["node", "n", "at", "token"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[hit])), batch.column(1).take(pa.array(row[hit])), pa.array(at[hit].astype(np.int32)), pa.array(tokens[hit])], ["node", "n", "at", "token"])
 
-    return rows.select("rep", "node", "n", "heavy", "light").mapInArrow(run, "token bigint" if repeated is None else "node bigint, n int, at int, token bigint")
+    return keyed.select("node", "n", "heavy", "light").mapInArrow(run, "token bigint" if repeated is None else "node bigint, n bigint, at int, token bigint")
 
 
 def _may_link(n: Column, m: Column, num: int, den: int) -> Column:
@@ -252,6 +286,18 @@ def _may_share(a: str, b: str, num: int, den: int) -> Column:
     return _may_link(F.col(f"{a}n"), F.col(f"{b}n"), num, den) & (left * (num + den) >= (F.col(f"{a}n") + F.col(f"{b}n")) * num)
 
 
+def _as_lists(sets: DataFrame) -> DataFrame:
+    """node and shingles as an array."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), ROWS):
+                part = batch.slice(a, ROWS)
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(list(_sets(part, 1)))], ["node", "shingles"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "node bigint, shingles array<bigint>")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that link."""
     a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("a_set"))
@@ -261,53 +307,114 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return both.where(F.col("shared") * den >= (F.size("a_set") + F.size("b_set") - F.col("shared")) * num).select("a", "b")
 
 
+def linked_rows(docs: DataFrame, words: int, num: int, den: int, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n, component (null for an empty set) and extra (a struct of the columns to carry) of every row; rows of one class, and no others, have equal components."""
+    spark = docs.sparkSession
+    with scratch(spark):
+        boundary = cost_boundary(num, den)
+        rows = docs.count()
+        bits = map_bits(rows)
+        sets = staged(_shingled(docs, key, text, words, carry or []), "jaccard-sets")
+        member = sets.select("doc_id", "n", "node", "extra")
+        # One row stands for each node; of wholly repeated rows several may, which only repeats entries.
+        reps = staged(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep")), "jaccard-nodes")
+        with shared_value(spark, bit_map(reps.select(F.xxhash64("node", "rep").alias("hash")), "hash", bits)) as chosen:
+            nodes = _chosen_sets(sets, chosen, "xxhash64(node, doc_id)")
+            with shared_value(spark, counted_shingles(nodes, rows)) as counts:
+                keyed = staged(_keyed(nodes, counts, num, den, boundary), "jaccard-keys")
+        # Keys that occur once are counted out before anything else about them is shuffled.
+        with shared_value(spark, bit_map(_entries(keyed).groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "token", bits)) as repeated:
+            entries = staged(_entries(keyed, repeated), "jaccard-entries")
+        heads = entries.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.min(F.struct("at", "n", "node")).alias("head")).where("least <> most")
+        heads = staged(heads.select("token", "head"), "jaccard-heads")
+        lists = staged(entries.join(heads, "token"), "jaccard-lists")
+        drop_staged(entries)
+        # Each node and the head of most of its lists.
+        scanned = lists.select("node", "n", "at", F.col("head.node").alias("h_node"), F.col("head.n").alias("h_n"), F.col("head.at").alias("h_at")).where("node <> h_node").where(_may_share("", "h_", num, den))
+        pivots = scanned.groupBy("node", "h_node").agg(F.count(F.lit(1)).alias("times")).groupBy("node").agg(F.max(F.struct("times", "h_node")).alias("best"))
+
+        def linked(pairs: DataFrame) -> DataFrame:
+            """Those of the pairs (a, b) that link, from their whole sets; pairs whose signatures differ in too many places aren't compared."""
+            x = keyed.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("signature").alias("a_s"))
+            y = keyed.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("signature").alias("b_s"))
+            differ = F.aggregate(F.zip_with("a_s", "b_s", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, c: t + c)
+            whole = F.col("a_n") + F.col("b_n")
+            # Linked sets share at least num / (num + den) of `whole`; the rest, twice over, is what they may differ in.
+            near = differ * (num + den) <= whole * (den - num)
+            pairs = staged(pairs.join(x, "a").join(y, "b").where(near).select("a", "b"), "jaccard-pairs")
+            wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+            named = wanted.join(reps, "node").select(F.xxhash64("node", "rep").alias("hash"))
+            with shared_value(spark, bit_map(named, "hash", bits)) as picked:
+                whole_sets = staged(_as_lists(_chosen_sets(sets, picked, "xxhash64(node, doc_id)")), "jaccard-whole")
+            found = staged(_verified(pairs, whole_sets, num, den), "jaccard-links")
+            drop_staged(whole_sets)
+            drop_staged(pairs)
+            return found
+
+        first = linked(pivots.select(F.col("node").alias("a"), F.col("best.h_node").alias("b")))
+        label = components(first)
+        # Lists that still hold different components.
+        named = lists.select("token", "node", "n", "at").join(label, "node", "left").select("token", "node", "n", "at", F.coalesce("component", "node").alias("component"))
+        named = staged(named, "jaccard-named")
+        drop_staged(lists)
+        mixed = staged(named.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("token"), "jaccard-mixed")
+        open_lists = staged(named.join(mixed, "token", "left_semi"), "jaccard-open")
+        left = open_lists.select("token", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("at").alias("a_at"), F.col("component").alias("a_component"))
+        right = open_lists.select("token", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("at").alias("b_at"), F.col("component").alias("b_component"))
+        pairs = left.join(right, "token").where(F.col("a_component") < F.col("b_component")).where(_may_share("a_", "b_", num, den)).select("a", "b").distinct()
+        label = components(first.unionAll(linked(pairs))).select("node", "component")
+        named = member.where("n > 0").join(label, "node", "left").select("doc_id", "n", F.coalesce("component", "node").alias("component"), "extra")
+        return staged(named.unionAll(member.where("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("component"), "extra")), "jaccard-classes", keep=True)
+
+
 def classes(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id of the class) of every document."""
-    boundary = cost_boundary(num, den)
-    keyed = staged(_keyed(docs, key, text, words, num, den, boundary), "jaccard-keys")
-    share = docs.sparkSession.sparkContext.broadcast
-    member = keyed.select("doc_id", "n", "node")
-    reps = staged(keyed.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature")), "jaccard-nodes")
-    chosen = share(bit_map(reps.select(F.xxhash64("node", "rep").alias("hash")), "hash"))
-    # Keys that occur once are counted out before anything else about them is shuffled.
-    repeated = share(bit_map(_entries(keyed, chosen).groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "token"))
-    entries = staged(_entries(keyed, chosen, repeated), "jaccard-entries")
-    heads = entries.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.min(F.struct("at", "n", "node")).alias("head")).where("least <> most")
-    lists = staged(entries.join(heads.select("token", "head"), "token"), "jaccard-lists")
-    drop_staged(entries)
-    # Each node and the head of most of its lists.
-    scanned = lists.select("node", "n", "at", F.col("head.node").alias("h_node"), F.col("head.n").alias("h_n"), F.col("head.at").alias("h_at")).where("node <> h_node").where(_may_share("", "h_", num, den))
-    pivots = scanned.groupBy("node", "h_node").agg(F.count(F.lit(1)).alias("times")).groupBy("node").agg(F.max(F.struct("times", "h_node")).alias("best"))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that link, from their whole sets; pairs whose signatures differ in too many places aren't compared."""
-        x = reps.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("signature").alias("a_s"))
-        y = reps.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("signature").alias("b_s"))
-        differ = F.aggregate(F.zip_with("a_s", "b_s", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, c: t + c)
-        whole = F.col("a_n") + F.col("b_n")
-        # Linked sets share at least num / (num + den) of `whole`; the rest, twice over, is what they may differ in.
-        near = differ * (num + den) <= whole * (den - num)
-        pairs = staged(pairs.join(x, "a").join(y, "b").where(near).select("a", "b"), "jaccard-pairs")
-        wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct().join(reps, "node")
-        sets = staged(_sets(docs, key, text, words, wanted), "jaccard-sets")
-        found = staged(_verified(pairs, sets, num, den).distinct(), "jaccard-links")
-        drop_staged(sets)
-        drop_staged(pairs)
-        return found
-
-    first = linked(pivots.select(F.col("node").alias("a"), F.col("best.h_node").alias("b")))
-    label = components(first)
-    # Lists that still hold different components.
-    named = lists.select("token", "node", "n", "at").join(label, "node", "left").select("token", "node", "n", "at", F.coalesce("component", "node").alias("component"))
-    named = staged(named, "jaccard-named")
-    drop_staged(lists)
-    mixed = named.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("token")
-    open_lists = named.join(mixed, "token", "left_semi")
-    left = open_lists.select("token", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("at").alias("a_at"), F.col("component").alias("a_component"))
-    right = open_lists.select("token", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("at").alias("b_at"), F.col("component").alias("b_component"))
-    pairs = left.join(right, "token").where(F.col("a_component") < F.col("b_component")).where(_may_share("a_", "b_", num, den)).select("a", "b").distinct()
-    label = components(first.unionAll(linked(pairs))).select("node", "component")
-    grouped = staged(member.where("n > 0").join(label, "node", "left").select("doc_id", "n", F.coalesce("component", "node").alias("component")), "jaccard-classes")
-    least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    inside = grouped.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return inside.unionAll(member.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    """doc_id, n_shingles and component_id (the least doc_id of the class) of every row."""
+    rows = linked_rows(docs, words, num, den, key, text)
+    least = staged(rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id")), "jaccard-least")
+    inside = rows.where("component is not null").join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return inside.unionAll(rows.where("component is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def _row_names(rows: DataFrame, columns: list[str]) -> tuple[Column, Column]:
+    """Two hashes of a whole row: what tells rows with equal ids apart."""
+    whole = F.struct(*(F.struct(F.col(f"`{c}`").isNull(), F.col(f"`{c}`")) for c in columns))
+    return F.xxhash64(whole), F.xxhash64(F.lit("row"), whole)
+
+
+def without_near_copies(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents table with one row of each class: that with the least id (null last), of equal ids that with the least hash, of equal rows one.
+
+    Rows go one by one, whatever their ids: a row stays although another with
+    its id is a near copy, and rows without id go like others. Rows without words
+    all stay. An empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    own = docs.columns
+    names = ["_gridlark_r1", "_gridlark_r2"]
+    marked = docs.select("*", *(c.alias(n) for c, n in zip(_row_names(docs, own), names, strict=True)))
+    with scratch(spark):
+        rows = linked_rows(marked, words, num, den, key, text, names).where("component is not null")
+        # The lowest row of each class. Counting comes first, so that a hot class is one row when it is shuffled.
+        name = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(f"extra.{names[0]}").alias("r1"), F.col(f"extra.{names[1]}").alias("r2"))
+        groups = rows.select("component", name.alias("row")).groupBy("component", "row").agg(F.count(F.lit(1)).alias("copies"))
+        groups = staged(groups, "near-rows")
+        best = staged(groups.groupBy("component").agg(F.min("row").alias("best")), "near-best")
+        judged = staged(groups.join(best, "component").select("row.r1", "row.r2", (F.col("row") != F.col("best")).alias("goes"), "copies").where("goes or copies > 1"), "near-judged", keep=True)
+    touched = bit_map(judged.select("r1"), "r1", map_bits(docs.count()))
+    shared = spark.sparkContext.broadcast(touched)
+    place = len(own)
+
+    def split(hit: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(has_bit(shared.value, batch.column(place).to_numpy()) == hit))
+
+        return marked.mapInArrow(run, marked.schema)
+
+    # Only rows that go, or of which copies go, are shuffled; and a few that the map lets through.
+    known = judged.select(F.col("r1").alias(names[0]), F.col("r2").alias(names[1]), "goes")
+    met = split(True).join(known.withColumnsRenamed({"goes": "_gridlark_goes"}), names, "left").where("_gridlark_goes is null or not _gridlark_goes")
+    alone = met.where("_gridlark_goes is null").select(*(F.col(f"`{c}`") for c in own))
+    several = met.where("not _gridlark_goes").groupBy(*names).agg(*(F.first(F.struct(F.col(f"`{c}`"))).alias(f"_gridlark_c{i}") for i, c in enumerate(own)))
+    once = several.select(*(F.col(f"_gridlark_c{i}").getField(c).alias(c) for i, c in enumerate(own)))
+    return split(False).select(*(F.col(f"`{c}`") for c in own)).unionAll(alone).unionAll(once)

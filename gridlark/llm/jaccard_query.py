@@ -21,7 +21,7 @@ n as (select w.doc_id, count(s.doc_id) as n from (select distinct doc_id from w)
 p as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
 l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where {den} * shared >= {num} * (x.n + y.n - shared)),
 r as (select doc_id, doc_id as other from n union select r.doc_id, l.b from r join l on l.a = r.other)
-select n.doc_id, cast(n.n as integer) as n_shingles, c.component_id from n join (select doc_id, min(other) as component_id from r group by 1) c using (doc_id)"""
+select n.doc_id, cast(n.n as bigint) as n_shingles, c.component_id from n join (select doc_id, min(other) as component_id from r group by 1) c using (doc_id)"""
 
 
 QUERIES = {"op8_jaccard": op8_jaccard}
