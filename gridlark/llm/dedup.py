@@ -33,6 +33,7 @@ stays null. Repeated rows are equal texts. An empty table gives no rows.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import re
 from collections.abc import Iterator
@@ -41,10 +42,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import bit_map, has_bit, staged, text_bytes
+from gridlark.llm.common import bit_map, has_bit, map_bits, release, scratch, shared_value, staged, text_bytes
 from gridlark.llm.suffixes import RunLengthIndex
 
 LEAST = 400
@@ -169,6 +170,8 @@ def _prepared(docs: DataFrame, key: str, text: str, least: int, carry: list[str]
                 kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 arrays = [pa.array(c, pa.list_(k)) for c, k in zip(([x.astype(np.int32) if k == pa.int32() else x for x in c] for c, k in zip(lists, kinds, strict=True)), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), *arrays, own, part.column(2)], ["doc_id", "t1", "t2", "starts", "anchors", "places", "at", "sampled", "bytes", "extra"])
+        del grams, known
+        release()
 
     return source.mapInArrow(run, f"doc_id bigint, t1 bigint, t2 bigint, starts array<int>, anchors array<bigint>, places array<bigint>, at array<int>, sampled array<bigint>, bytes binary, extra {kind}")
 
@@ -328,6 +331,8 @@ def _indexed(contexts: DataFrame, salts: Broadcast, least: int) -> DataFrame:
                 held += len(own)
         if block:
             yield from _emit(marks(block), kinds, names)
+        del block
+        release()
 
     ordered = contexts.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
     return ordered.select("anchor", "c1", "c2", "salt", "bytes").mapInArrow(run, "anchor bigint, c1 bigint, c2 bigint, from int, to int, f1 bigint, f2 bigint")
@@ -344,40 +349,44 @@ def _emit(rows: Iterator[tuple], kinds: list[pa.DataType], names: list[str]) ->
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*block, strict=True), kinds, strict=True)], names)
 
 
-def repeated_spans(rows: DataFrame, least: int) -> DataFrame:
-    """t1, t2 and spans (array of from and to, not merged) of every text of _prepared() that has repeated windows."""
+def repeated_spans(rows: DataFrame, least: int, count: int) -> DataFrame:
+    """t1, t2 and spans (array of from and to, not merged) of every text of _prepared() that has repeated windows. count: about how many rows there are."""
     spark = rows.sparkSession
-    share = spark.sparkContext.broadcast
-    texts = staged(rows.where(F.octet_length("bytes") >= least).groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"), F.first(F.octet_length("bytes")).alias("size")), "dedup-texts")
-    reps = share(bit_map(_named(texts).select("rep"), "rep"))
-    anchors = share(bit_map(_anchor_counts(rows, reps), "hash"))
-    grams = share(bit_map(_gram_counts(rows, reps, anchors, least), "hash"))
-    places = staged(_contexts(rows, reps, anchors, grams, least), "dedup-contexts").dropDuplicates(["t1", "t2", "start"])
-    groups = staged(places.groupBy("anchor", "c1", "c2").agg(F.count(F.lit(1)).alias("times"), F.first("size").alias("size"), F.min(F.struct("t1", "t2", "start")).alias("place")), "dedup-groups")
-    # A context alone is indexed too: its anchor may occur in it twice, and so may its windows.
-    sizes = groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts"))
-    # At most 65536 anchors have that many contexts.
-    chunk = max(CHUNK, groups.count() >> 16)
-    salts = share({r["anchor"]: -(-r["contexts"] // chunk) for r in sizes.where(F.col("contexts") > chunk).collect()})
-    wanted_places = groups.select("place.*")
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [xxhash.xxh3_64_intdigest(f"{a} {b} {c}") for a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, _U).view(np.int64))], ["hash"])
-
-    wanted = share(bit_map(wanted_places.mapInArrow(hashed, "hash bigint"), "hash"))
-    marked = staged(_indexed(_contexts(rows, reps, anchors, grams, least, wanted, salts), salts, least), "dedup-marks")
-    own = marked.where("to is not null").select("anchor", "c1", "c2", "from", "to")
-    open_windows = marked.where("f1 is not null")
-    # One block's word for each window is one row; a window that two blocks have is repeated.
-    again = open_windows.groupBy("anchor", "f1", "f2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "f1", "f2")
-    met = open_windows.where("from is not null").join(again, ["anchor", "f1", "f2"]).select("anchor", "c1", "c2", "from", (F.col("from") + least).alias("to"))
-    whole = groups.where("times > 1").select("anchor", "c1", "c2", F.lit(0).alias("from"), F.col("size").alias("to"))
-    by_context = own.unionAll(met).unionAll(whole).groupBy("anchor", "c1", "c2").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
-    by_text = places.join(by_context, ["anchor", "c1", "c2"]).select("t1", "t2", F.explode(F.transform("spans", lambda s: F.struct((s["from"] + F.col("start")).alias("from"), (s["to"] + F.col("start")).alias("to")))).alias("span"))
-    copied = texts.where("copies > 1").select("t1", "t2", F.struct(F.lit(0).alias("from"), F.col("size").alias("to")).alias("span"))
-    return staged(by_text.unionAll(copied).groupBy("t1", "t2").agg(F.collect_set("span").alias("spans")), "dedup-spans")
+    few, many = map_bits(count), map_bits(count, 256)
+    with scratch(spark), contextlib.ExitStack() as shares:
+        share = lambda value: shares.enter_context(shared_value(spark, value))
+        texts = staged(rows.where(F.octet_length("bytes") >= least).groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"), F.first(F.octet_length("bytes")).alias("size")), "dedup-texts")
+        reps = share(bit_map(_named(texts).select("rep"), "rep", few))
+        anchors = share(bit_map(_anchor_counts(rows, reps), "hash", many))
+        grams = share(bit_map(_gram_counts(rows, reps, anchors, least), "hash", many))
+        places = staged(_contexts(rows, reps, anchors, grams, least), "dedup-contexts").dropDuplicates(["t1", "t2", "start"])
+        groups = staged(places.groupBy("anchor", "c1", "c2").agg(F.count(F.lit(1)).alias("times"), F.first("size").alias("size"), F.min(F.struct("t1", "t2", "start")).alias("place")), "dedup-groups")
+        # A context alone is indexed too: its anchor may occur in it twice, and so may its windows.
+        sizes = groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts"))
+        # At most 65536 anchors have that many contexts.
+        chunk = max(CHUNK, groups.count() >> 16)
+        salts = share({r["anchor"]: -(-r["contexts"] // chunk) for r in sizes.where(F.col("contexts") > chunk).collect()})
+        wanted_places = groups.select("place.*")
+
+        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = [xxhash.xxh3_64_intdigest(f"{a} {b} {c}") for a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, _U).view(np.int64))], ["hash"])
+
+        wanted = share(bit_map(wanted_places.mapInArrow(hashed, "hash bigint"), "hash", many))
+        marked = staged(_indexed(_contexts(rows, reps, anchors, grams, least, wanted, salts), salts, least), "dedup-marks")
+        own = marked.where("to is not null").select("anchor", "c1", "c2", "from", "to")
+        open_windows = marked.where("f1 is not null")
+        # One block's word for each window is one row; a window that two blocks have is repeated.
+        again = staged(open_windows.groupBy("anchor", "f1", "f2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "f1", "f2"), "dedup-again")
+        met = open_windows.where("from is not null").join(again, ["anchor", "f1", "f2"]).select("anchor", "c1", "c2", "from", (F.col("from") + least).alias("to"))
+        whole = groups.where("times > 1").select("anchor", "c1", "c2", F.lit(0).alias("from"), F.col("size").alias("to"))
+        # Written before it is joined, so that Spark can split a context that many texts have.
+        by_context = staged(own.unionAll(met).unionAll(whole).groupBy("anchor", "c1", "c2").agg(F.collect_set(F.struct("from", "to")).alias("spans")), "dedup-by-context")
+        met_places = staged(places.select("anchor", "c1", "c2", "t1", "t2", "start").join(by_context, ["anchor", "c1", "c2"]), "dedup-places")
+        by_text = met_places.select("t1", "t2", F.explode(F.transform("spans", lambda s: F.struct((s["from"] + F.col("start")).alias("from"), (s["to"] + F.col("start")).alias("to")))).alias("span"))
+        copied = texts.where("copies > 1").select("t1", "t2", F.struct(F.lit(0).alias("from"), F.col("size").alias("to")).alias("span"))
+        return staged(by_text.unionAll(copied).groupBy("t1", "t2").agg(F.collect_set("span").alias("spans")), "dedup-spans", keep=True)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -391,11 +400,12 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def repeated_words(rows: DataFrame, words: int) -> DataFrame:
+def repeated_words(rows: DataFrame, words: int, count: int) -> DataFrame:
     """t1, t2 and coded (array of from and to in bytes of its codes) of every text of _prepared() that has repeated windows of so many words."""
-    coded = staged(_prepared(rows, "doc_id", "bytes", words * CODE, ["t1", "t2"], coded=True), "dedup-words")
-    spans = repeated_spans(coded.drop("extra"), words * CODE).withColumnRenamed("spans", "coded")
-    return coded.select("t1", "t2", "extra").join(spans, ["t1", "t2"]).select("extra.t1", "extra.t2", "coded").dropDuplicates(["t1", "t2"])
+    with scratch(rows.sparkSession):
+        coded = staged(_prepared(rows, "doc_id", "bytes", words * CODE, ["t1", "t2"], coded=True), "dedup-words")
+        spans = repeated_spans(coded.drop("extra"), words * CODE, count).withColumnRenamed("spans", "coded")
+        return staged(coded.select("t1", "t2", "extra").join(spans, ["t1", "t2"]).select("extra.t1", "extra.t2", "coded").dropDuplicates(["t1", "t2"]), "dedup-coded", keep=True)
 
 
 def _byte_spans(own: bytes, coded: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -409,14 +419,18 @@ def _byte_spans(own: bytes, coded: list[tuple[int, int]]) -> list[tuple[int, int
 
 
 def deduplicate(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text", carry: list[str] | None = None, words: int = 0) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), kept_sha256 and extra (a struct of the columns to carry) of every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), text (the same, without characters that a removed passage cut in two), kept_sha256 and extra (a struct of the columns to carry) of every row."""
+    spark = docs.sparkSession
+    count = docs.count()
     rows = staged(_prepared(docs, key, text, least, carry or []), "dedup-rows")
-    spans = repeated_spans(rows.drop("extra"), least).withColumn("coded", F.lit(None).cast("array<struct<from:int,to:int>>"))
-    if words:
-        spans = staged(spans.drop("coded").join(repeated_words(rows, words), ["t1", "t2"], "full"), "dedup-both")
+    with scratch(spark):
+        spans = repeated_spans(rows.drop("extra"), least, count).withColumn("coded", F.lit(None).cast("array<struct<from:int,to:int>>"))
+        if words:
+            spans = spans.drop("coded").join(repeated_words(rows, words, count), ["t1", "t2"], "full")
+        spans = staged(spans, "dedup-both", keep=True)
     slim = rows.select("doc_id", "t1", "t2", "bytes", "extra")
     kind = slim.schema["extra"].dataType.simpleString()
-    found = slim.sparkSession.sparkContext.broadcast(bit_map(spans.select("t1"), "t1"))
+    found = spark.sparkContext.broadcast(bit_map(spans.select("t1"), "t1", map_bits(count)))
 
     def split(hit: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,39 +441,40 @@ def deduplicate(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text:
 
     # Only texts that have spans, or may have, are shuffled.
     nothing = F.lit(0).cast("long")
-    whole = split(False).select("doc_id", F.octet_length("bytes").cast("long").alias("n_bytes"), nothing.alias("n_removed"), nothing.alias("n_spans"), F.col("bytes").alias("kept"), F.sha2("bytes", 256).alias("kept_sha256"), "extra")
+    whole = split(False).select(
+        "doc_id", F.octet_length("bytes").cast("long").alias("n_bytes"), nothing.alias("n_removed"), nothing.alias("n_spans"), F.col("bytes").alias("kept"), F.col("bytes").cast("string").alias("text"), F.sha2("bytes", 256).alias("kept_sha256"), "extra",
+    )
     joined = split(True).join(spans, ["t1", "t2"], "left").select("doc_id", "bytes", "spans.from", "spans.to", F.col("coded.from").alias("coded_from"), F.col("coded.to").alias("coded_to"), "extra")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, len(batch), 256):
                 part = batch.slice(first, 256)
-                out: list[list] = [[], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], []]
                 for own, a, b, c, d in zip(*(part.column(i).to_pylist() for i in range(1, 6)), strict=True):
                     runs = merged([*zip(a or [], b or [], strict=True), *_byte_spans(own, list(zip(c or [], d or [], strict=True)))])
                     edges = [0, *(x for r in runs for x in r), len(own)]
-                    kept = b"".join(own[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
-                    for column, v in zip(out, (len(own), len(own) - len(kept), len(runs), kept, hashlib.sha256(kept).hexdigest()), strict=True):
+                    pieces = [own[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)]
+                    kept = b"".join(pieces)
+                    # Piece by piece, so that halves of two characters never make a third one.
+                    clean = "".join(x.decode("utf-8", "ignore") for x in pieces) if runs else own.decode("utf-8", "replace")
+                    for column, v in zip(out, (len(own), len(own) - len(kept), len(runs), kept, clean, hashlib.sha256(kept).hexdigest()), strict=True):
                         column.append(v)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True)), part.column(6)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "extra"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True)), part.column(6)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "text", "kept_sha256", "extra"])
 
-    return whole.unionAll(joined.mapInArrow(cut, f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string, extra {kind}"))
+    return whole.unionAll(joined.mapInArrow(cut, f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, text string, kept_sha256 string, extra {kind}"))
 
 
 def clean_documents(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text", length: str = "n_chars", words: int = 0) -> DataFrame:
     """The documents without their repeated passages, with the same columns; those that lose all their text go.
 
-    Where a passage begins or ends within a character, what is left of it goes too.
+    Where a passage begins or ends within a character, what is left of it goes too;
+    all else stays as it was. Rows go one by one, whatever their ids. Of rows with
+    equal texts of `least` bytes none keeps its text: copies are to be dropped first.
     """
     carry = [c for c in docs.columns if c not in (key, text, length)]
     found = deduplicate(docs.withColumn("_gridlark_had_text", F.col(text).isNotNull()), least, key, text, [*carry, "_gridlark_had_text"], words)
     found = found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes")))
-    whole = F.when(F.col("extra._gridlark_had_text"), F.col("kept").cast("string"))
-    out = found.select(F.col("doc_id").alias(key), _valid(F.col("n_removed") > 0, whole).alias(text), *(F.col(f"extra.`{c}`").alias(c) for c in carry))
+    out = found.select(F.col("doc_id").alias(key), F.when(F.col("extra._gridlark_had_text"), F.col("text")).alias(text), *(F.col(f"extra.`{c}`").alias(c) for c in carry))
     return out.withColumn(length, F.length(text).cast("long")).select(*docs.columns) if length in docs.columns else out.select(*docs.columns)
-
-
-def _valid(changed: Column, whole: Column) -> Column:
-    """Text whose bytes may no longer be UTF-8, without those that aren't."""
-    return F.when(changed, F.regexp_replace(F.make_valid_utf8(whole), "\ufffd", "")).otherwise(whole)

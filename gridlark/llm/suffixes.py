@@ -15,6 +15,8 @@ import numpy as np
 
 #: Symbols of the first key: 9 bits each, in 63 bits.
 PACKED = 7
+#: Symbols, and pairs of suffixes, that are compared at once.
+COMPARED, PAIRS = 32, 1 << 15
 
 
 def _dense(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,7 +46,6 @@ class RunLengthIndex:
         for k in range(min(PACKED, n)):
             key[: n - k] |= text[k:] << (9 * (PACKED - 1 - k))
         order, rank = _dense(key)
-        self.levels: list[tuple[int, np.ndarray]] = [(PACKED, rank.astype(np.int32))]
         width = PACKED
         while width < longest:
             after = np.zeros(n, np.int64)
@@ -52,18 +53,17 @@ class RunLengthIndex:
                 after[: n - width] = rank[width:] + 1
             order, rank = _dense(rank * (n + 2) + after)
             width *= 2
-            self.levels.append((width, rank.astype(np.int32)))
+        del rank, key
         self._sample(order, text)
 
     def _sample(self, order: np.ndarray, text: np.ndarray) -> None:
-        """Keep the runs of the transform: their symbols, and the suffixes at their starts and ends with what those share with the row beyond.
+        """Keep of the transform's runs the suffixes at their starts and ends, with what those share with the row beyond.
 
         The first suffix of each string is a run of its own, so that what follows from a sample stays within its string.
         """
         bwt = text[order - 1]
         change = np.flatnonzero((bwt[1:] != bwt[:-1]) | (bwt[1:] == 0)) + 1
-        self.run_symbols = bwt[np.concatenate([[0], change])]
-        self.run_starts = np.concatenate([[0], change])
+        self.runs = len(change) + 1
         a, b = order[change - 1], order[change]
         shared = self._shared(a, b, text)
         # A suffix at a run's start, with the row before; at a run's end, with the row after.
@@ -71,19 +71,18 @@ class RunLengthIndex:
         self.end_suffix, self.end_shared = a, shared
 
     def _shared(self, a: np.ndarray, b: np.ndarray, text: np.ndarray) -> np.ndarray:
-        """Length of the common prefix of these suffixes."""
+        """Length of the common prefix of these suffixes, within their strings."""
+        padded = np.concatenate([text, np.zeros(COMPARED, np.int64)]).astype(np.int16)
         out = np.zeros(len(a), np.int64)
-        for width, rank in reversed(self.levels):
-            x, y = a + out, b + out
-            inside = np.flatnonzero((x < self.n) & (y < self.n))
-            same = inside[rank[x[inside]] == rank[y[inside]]]
-            out[same] += width
-        live = np.arange(len(a))
-        for _ in range(PACKED - 1):
-            x, y = a[live] + out[live], b[live] + out[live]
-            live, x, y = (z[(x < self.n) & (y < self.n)] for z in (live, x, y))
-            live = live[text[x] == text[y]]
-            out[live] += 1
+        ahead = np.arange(COMPARED)
+        for first in range(0, len(a), PAIRS):
+            live = np.arange(first, min(first + PAIRS, len(a)))
+            while len(live):
+                x, y = padded[(a[live] + out[live])[:, None] + ahead], padded[(b[live] + out[live])[:, None] + ahead]
+                other = (x != y) | (x == 0)
+                stop = other.any(axis=1)
+                out[live] += np.where(stop, other.argmax(axis=1), COMPARED)
+                live = live[~stop]
         return out
 
     def matching_statistics(self) -> np.ndarray:
