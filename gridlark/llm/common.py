@@ -177,6 +177,20 @@ def has_bit(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return ((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
 
 
+def split_rows(df: DataFrame, column: str, wanted: Broadcast) -> tuple[DataFrame, DataFrame]:
+    """Rows whose 64-bit hash the map may hold, and the others, so that only the first are shuffled to meet what the map was made of."""
+    place = df.columns.index(column)
+
+    def part(hit: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(has_bit(wanted.value, batch.column(place).to_numpy()) == hit))
+
+        return df.mapInArrow(run, df.schema)
+
+    return part(True), part(False)
+
+
 @contextlib.contextmanager
 def shared_value(spark: SparkSession, value: object) -> Iterator[Broadcast]:
     """A broadcast value, of a size that the caller has bounded, which is destroyed at the end; what reads it is done by then."""

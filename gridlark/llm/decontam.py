@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import bit_map, byte_slices, has_bit, text_bytes
+from gridlark.llm.common import bit_map, byte_slices, has_bit, map_bits, release, split_rows, staged, text_bytes
 
 WINDOW = 8
 MOST_SLOTS = 4
@@ -183,6 +183,8 @@ def _windows(table: DataFrame, key: str, text: str, sizes: list[int] | None, bit
                 if out[0]:
                     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["id", "row", "tokens", "at", "size", "hash", "words"])
+        del own
+        release()
 
     return source.mapInArrow(run, "id bigint, row bigint, tokens int, at int, size int, hash bigint, words array<string>")
 
@@ -248,3 +250,12 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     return by_item.where(enough).select(
         "doc_id", "item_id", F.size("places").alias("n_windows"), "run_tokens", "covered_tokens", "item_tokens", F.when(F.col("same"), "verbatim").otherwise("reparameterised").alias("kind"),
     )
+
+
+def without_items(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The documents table without the rows whose text holds an item; rows are told apart by their texts, not by ids, and null texts stay."""
+    name = "_gridlark_text"
+    marked = docs.select("*", F.xxhash64(F.col(text)).alias(name))
+    found = staged(contaminated(marked.where(F.col(text).isNotNull()), items, key=name, text=text, **options).select(F.col("doc_id").alias(name)).distinct(), "contaminated")
+    met, others = split_rows(marked, name, docs.sparkSession.sparkContext.broadcast(bit_map(found, name, map_bits(docs.count()))))
+    return others.unionAll(met.join(found, name, "left_anti").select(*marked.columns)).drop(name)

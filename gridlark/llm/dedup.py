@@ -45,7 +45,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import bit_map, has_bit, map_bits, release, scratch, shared_value, staged, text_bytes
+from gridlark.llm.common import bit_map, has_bit, map_bits, release, scratch, shared_value, split_rows, staged, text_bytes
 from gridlark.llm.suffixes import RunLengthIndex
 
 LEAST = 400
@@ -430,21 +430,13 @@ def deduplicate(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text:
         spans = staged(spans, "dedup-both", keep=True)
     slim = rows.select("doc_id", "t1", "t2", "bytes", "extra")
     kind = slim.schema["extra"].dataType.simpleString()
-    found = spark.sparkContext.broadcast(bit_map(spans.select("t1"), "t1", map_bits(count)))
-
-    def split(hit: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(has_bit(found.value, batch.column(1).to_numpy()) == hit))
-
-        return slim.mapInArrow(run, f"doc_id bigint, t1 bigint, t2 bigint, bytes binary, extra {kind}")
-
+    met, others = split_rows(slim, "t1", spark.sparkContext.broadcast(bit_map(spans.select("t1"), "t1", map_bits(count))))
     # Only texts that have spans, or may have, are shuffled.
     nothing = F.lit(0).cast("long")
-    whole = split(False).select(
+    whole = others.select(
         "doc_id", F.octet_length("bytes").cast("long").alias("n_bytes"), nothing.alias("n_removed"), nothing.alias("n_spans"), F.col("bytes").alias("kept"), F.col("bytes").cast("string").alias("text"), F.sha2("bytes", 256).alias("kept_sha256"), "extra",
     )
-    joined = split(True).join(spans, ["t1", "t2"], "left").select("doc_id", "bytes", "spans.from", "spans.to", F.col("coded.from").alias("coded_from"), F.col("coded.to").alias("coded_to"), "extra")
+    joined = met.join(spans, ["t1", "t2"], "left").select("doc_id", "bytes", "spans.from", "spans.to", F.col("coded.from").alias("coded_from"), F.col("coded.to").alias("coded_to"), "extra")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

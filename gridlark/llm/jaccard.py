@@ -49,7 +49,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import bit_map, drop_staged, has_bit, map_bits, release, scratch, shared_value, staged, tidy
+from gridlark.llm.common import bit_map, drop_staged, has_bit, map_bits, release, scratch, shared_value, split_rows, staged, tidy
 from gridlark.llm.graph import components
 
 #: Counters of shingles: of 32-bit numbers while they are added up, one byte each (a logarithm) when they are shared.
@@ -400,21 +400,12 @@ def without_near_copies(docs: DataFrame, words: int = 5, num: int = 4, den: int
         groups = staged(groups, "near-rows")
         best = staged(groups.groupBy("component").agg(F.min("row").alias("best")), "near-best")
         judged = staged(groups.join(best, "component").select("row.r1", "row.r2", (F.col("row") != F.col("best")).alias("goes"), "copies").where("goes or copies > 1"), "near-judged", keep=True)
-    touched = bit_map(judged.select("r1"), "r1", map_bits(docs.count()))
-    shared = spark.sparkContext.broadcast(touched)
-    place = len(own)
-
-    def split(hit: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(has_bit(shared.value, batch.column(place).to_numpy()) == hit))
-
-        return marked.mapInArrow(run, marked.schema)
-
+    touched = spark.sparkContext.broadcast(bit_map(judged.select("r1"), "r1", map_bits(docs.count())))
     # Only rows that go, or of which copies go, are shuffled; and a few that the map lets through.
-    known = judged.select(F.col("r1").alias(names[0]), F.col("r2").alias(names[1]), "goes")
-    met = split(True).join(known.withColumnsRenamed({"goes": "_gridlark_goes"}), names, "left").where("_gridlark_goes is null or not _gridlark_goes")
+    met, others = split_rows(marked, names[0], touched)
+    known = judged.select(F.col("r1").alias(names[0]), F.col("r2").alias(names[1]), F.col("goes").alias("_gridlark_goes"))
+    met = met.join(known, names, "left").where("_gridlark_goes is null or not _gridlark_goes")
     alone = met.where("_gridlark_goes is null").select(*(F.col(f"`{c}`") for c in own))
     several = met.where("not _gridlark_goes").groupBy(*names).agg(*(F.first(F.struct(F.col(f"`{c}`"))).alias(f"_gridlark_c{i}") for i, c in enumerate(own)))
     once = several.select(*(F.col(f"_gridlark_c{i}").getField(c).alias(c) for i, c in enumerate(own)))
-    return split(False).select(*(F.col(f"`{c}`") for c in own)).unionAll(alone).unionAll(once)
+    return others.select(*(F.col(f"`{c}`") for c in own)).unionAll(alone).unionAll(once)
