@@ -122,6 +122,21 @@ def is_normalized(v: Sequence[float]) -> bool:
     return abs(sum(x * x for x in v) - 1.0) < 1e-6
 
 
+def normalized(v: Vector) -> Column:
+    """The same for columns."""
+    return F.abs(column(size2(v)) - 1.0) < 1e-6
+
+
+def almost_equal(a: Scalar, b: Scalar, tolerance: float = BASE_TOLERANCE) -> Column:
+    """Two numbers that differ by the tolerance at most."""
+    return F.abs(column(a) - column(b)) <= tolerance
+
+
+def less(a: Scalar, b: Scalar, tolerance: float = BASE_TOLERANCE) -> Column:
+    """a is below b by more than the tolerance."""
+    return column(a) + tolerance < column(b)
+
+
 def array_dot(v: Column, w: Column) -> Column:
     """Dot product of two array columns, for many dimensions."""
     return F.aggregate(F.zip_with(v, w, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)

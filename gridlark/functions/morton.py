@@ -189,17 +189,45 @@ def box_key(b: Box, grid: Grid) -> Column:
     return F.coalesce(key(code, grid.dims, grid.depth, level), F.lit(ROOT).cast("long"))
 
 
-def loose_key(b: Box, grid: Grid) -> Column:
-    """The key of a box in a loose tree of factor 2: by its centre, at the level whose cells are as large as it."""
-    sizes = [column(e) * f for e, f in zip(extent(b), grid.factors(), strict=True)]
+def loose_key(b: Box, grid: Grid, factor: float = 2.0) -> Column:
+    """The key of a box in a loose tree: by its centre, at the lowest level whose cell, widened about its middle by the factor (1 to 2), holds the box; the root's if none does.
+
+    With a factor of 2 that is the level whose cells are as large as the box.
+    """
+    if not 1.0 <= factor <= 2.0:
+        raise ValueError("a loose factor is 1 to 2")
+    factors = grid.factors()
+    sizes = [column(e) * f for e, f in zip(extent(b), factors, strict=True)]
     cells = F.ceil(F.greatest(*sizes) if len(sizes) > 1 else sizes[0]).cast("long")
     level = F.when(cells == 0, 0).otherwise(bit_width(cells - 1)).cast("int")
     level = F.least(level, F.lit(grid.depth))
-    cell = [F.floor((column(c) - lo) * f).cast("long") for c, lo, f in zip(center(b), grid.lo, grid.factors(), strict=True)]
+    cell = [F.floor((column(c) - lo) * f).cast("long") for c, lo, f in zip(center(b), grid.lo, factors, strict=True)]
     cell = [F.greatest(F.lit(0).cast("long"), F.least(c, F.lit(grid.resolution - 1).cast("long"))) for c in cell]
+    if factor != 2.0:
+        def holds(at: int) -> Column:
+            parts = []
+            for c, low, high, lo, f in zip(cell, b.lo, b.hi, grid.lo, factors, strict=True):
+                middle = F.shiftleft(F.shiftright(c, at), at).cast("double") + (1 << at) * 0.5
+                half = (1 << at) * factor * 0.5
+                parts.append((middle - half <= (column(low) - lo) * f) & ((column(high) - lo) * f <= middle + half))
+            return both(parts)
+
+        found = F.lit(grid.depth)
+        for at in reversed(range(grid.depth)):
+            found = F.when((level <= at) & holds(at), at).otherwise(found)
+        level = found
     return F.when(range_contains(grid.box(), b), key(encode(cell, grid.depth), grid.dims, grid.depth, level)).otherwise(F.lit(ROOT).cast("long"))
 
 
+def common_node(k: Column, dims: int, depth: int) -> Column:
+    """Aggregate: the lowest node that holds all these keys. Codes are brought to one depth; what their least and greatest share, all share."""
+    own = depth_of(k, dims)
+    code = F.call_function("shiftleft", k.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), own * dims)), (F.lit(depth) - own) * dims)
+    low, high = F.min(code), F.max(code)
+    found = F.least(F.min(own), (F.lit(depth) - F.ceil(bit_width(low.bitwiseXOR(high)) / dims)).cast("int"))
+    return F.call_function("shiftright", low, (F.lit(depth) - found) * dims).bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), found * dims))
+
+
 def cell_center(cell: Sequence[Column], grid: Grid, level: int = 0) -> list[Column]:
     """The centre of the node of a cell, `level` levels above the deepest; the cell is the node's first one."""
     half = (1 << level) * 0.5

@@ -9,7 +9,8 @@ to get their code and to get their node.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections import deque
+from collections.abc import Callable, Sequence
 from enum import Enum
 from heapq import heappop, heappush
 
@@ -135,25 +136,18 @@ def traverse(nodes: DataFrame, dims: int, visit: Callable[[dict], Control | None
             below.setdefault(up, []).append(k)
     if start not in by_key:
         return
-    for node in _ordered(by_key, below, order, priority, start, visit):
-        del node
-
-
-def _ordered(by_key: dict, below: dict, order: str, priority: Callable | None, start: int, visit: Callable) -> Iterator[dict]:
     rank = (lambda n: 0) if priority is None else priority
     first = rank(by_key[start])
-    if first is None:
-        return
-    waiting: list = [(first, 0, start)]
+    waiting: deque | list = deque() if order != "priority" else []
+    if first is not None:
+        waiting.append((first, 0, start))
     n = 0
     while waiting:
         if order == "priority":
             _, _, k = heappop(waiting)
         else:
-            _, _, k = waiting.pop(0 if order == "breadth" else -1)
-        node = by_key[k]
-        yield node
-        said = visit(node)
+            _, _, k = waiting.popleft() if order == "breadth" else waiting.pop()
+        said = visit(by_key[k])
         if said is Control.TERMINATE:
             return
         if said is Control.SKIP_CHILDREN:
@@ -170,6 +164,18 @@ def _ordered(by_key: dict, below: dict, order: str, priority: Callable | None, s
                 waiting.append((p, n, c))
 
 
+def traverse_entities(keyed: DataFrame, nodes: DataFrame, spec: GeometrySpec, visit: Callable[[list, dict], Control | None], order: str = "breadth", priority: Callable[[dict], float | None] | None = None, start: int = ROOT, most: int = 1_000_000) -> None:
+    """As traverse(), but visit gets a node's own rows, as a list of their keys in order, and the node (with its bounds).
+
+    Keys are brought to the driver, if there are at most `most` of them.
+    """
+    if keyed.count() > most:
+        raise ValueError("too many rows for a local traversal")
+    name = F.col(spec.key[0]) if len(spec.key) == 1 else F.struct(*spec.key)
+    own = {r["node_key"]: r["ids"] for r in keyed.groupBy("node_key").agg(F.array_sort(F.collect_list(name)).alias("ids")).toLocalIterator()}
+    traverse(nodes, spec.dims, lambda node: visit(own.get(node["node_key"], []), node), order, priority, start, most)
+
+
 def is_equal(rows_a: DataFrame, nodes_a: DataFrame, rows_b: DataFrame, nodes_b: DataFrame, spec: GeometrySpec, tolerance: float = BASE_TOLERANCE) -> bool:
     """Same nodes, with the same rows and, to within the tolerance, the same bounds."""
     keys = ["node_key", *spec.key]

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from gridlark.functions import geometry as g
 from gridlark.functions.geometry import BASE_TOLERANCE, EPSILON, Box, Ray
-from gridlark.operators.filters import domain_of
-from gridlark.operators.joins import cell_sizes, collide_two
-from gridlark.sources.spec import GeometrySpec, boxes
+from gridlark.operators.joins import _covered, _in_own_cell, _level, _sided, stats_of
+from gridlark.plans.storage import cut
+from gridlark.sources.spec import GeometrySpec
 
-PIECES = 64
+#: Pieces of a ray at one level; beyond that they are longer than a cell, and cover more of them.
+MOST_PIECES = 1 << 16
 
 
 def _hits(df: DataFrame, spec: GeometrySpec, ray: Ray, tolerance: float, increment: float, test: Column | None, user_distance: Column | None) -> DataFrame:
@@ -48,40 +49,49 @@ def ray_first(df: DataFrame, spec: GeometrySpec, ray: Ray, max_distance: float =
 def batch_rays(rays: DataFrame, df: DataFrame, spec: GeometrySpec, dims: int, first: bool = False, tolerance: float = BASE_TOLERANCE, increment: float = 0.0, key: str = "qid") -> DataFrame:
     """Many rays (key, o0.., d0.., optional max_dist) against a table: key, r_ keys, enter and exit.
 
-    Each ray is cut into pieces where it crosses the domain; the pieces' boxes meet
-    the table's rows in a grid join, and each ray and row that meet are tested
-    once. No ray meets all rows.
+    Rows are in the cells of their own level. For each level that occurs, a ray is
+    cut, where it crosses the domain, into pieces no longer than a cell, which
+    meet the rows of that level by cell; so the work goes with the cells along the
+    ray. A pair counts in the piece in which the ray enters the row, and in one
+    cell. No ray meets all rows, and no pair is tested anew.
     """
-    domain = domain_of(df, spec)
-    reach = math.sqrt(sum((b - a) ** 2 for a, b in zip(domain.lo, domain.hi, strict=True)))
+    stats = stats_of(df, spec.box())
+    sizes = stats.cell_sizes()
+    reach = math.sqrt(sum((b - a) ** 2 for a, b in zip(stats.lo, stats.hi, strict=True)))
     ray = Ray([F.col(f"o{d}") for d in range(dims)], [F.col(f"d{d}") for d in range(dims)])
     wide = tolerance + increment * reach
-    whole = Box([a - wide for a in domain.lo], [b + wide for b in domain.hi])
+    whole = Box([a - wide for a in stats.lo], [b + wide for b in stats.hi])
     span = g.ray_hits_box(ray, whole, max(tolerance, 1e-9 * (reach or 1.0)), increment)
-    near = rays.withColumn("_span", span).where(F.col("_span").isNotNull() & (F.abs(g.column(g.size2(ray.direction)) - 1.0) < 1e-6))
-    stop = F.col("_span.exit") if "max_dist" not in rays.columns else F.least(F.col("_span.exit"), F.coalesce("max_dist", F.col("_span.exit")))
-    near = near.withColumns({"_from": F.col("_span.enter"), "_to": stop}).where("_from <= _to")
-    near = near.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))))
-    step = (F.col("_to") - F.col("_from")) / PIECES
-    a, z = F.col("_from") + step * F.col("_piece"), F.col("_from") + step * (F.col("_piece") + 1)
+    limited = "max_dist" in rays.columns
+    near = rays.select(key, *(f"o{d}" for d in range(dims)), *(f"d{d}" for d in range(dims)), *(["max_dist"] if limited else []), span.alias("_span"))
+    near = near.where(F.col("_span").isNotNull() & g.normalized(ray.direction))
+    stop = F.least(F.col("_span.exit"), F.coalesce("max_dist", F.col("_span.exit"))) if limited else F.col("_span.exit")
+    near = near.withColumns({"_from": F.col("_span.enter"), "_to": stop}).where("_from <= _to").drop("_span")
+    near = near.withColumn("level", F.explode(F.array(*(F.lit(x) for x in stats.levels(sizes)))))
+    cells = g._largest([F.abs(d) * (F.col("_to") - F.col("_from")) / F.lit(s) for d, s in zip(ray.direction, sizes, strict=True)]) / F.pow(F.lit(2.0), F.col("level"))
+    near = near.withColumn("_pieces", F.greatest(F.lit(1), F.least(F.lit(MOST_PIECES), F.ceil(cells).cast("int"))))
+    near = near.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1)))
+    near = near.withColumn("_step", (F.col("_to") - F.col("_from")) / F.col("_pieces"))
+    a, z = F.col("_from") + F.col("_step") * F.col("_piece"), F.col("_from") + F.col("_step") * (F.col("_piece") + 1)
     slack = z * increment + tolerance + (F.abs(z) + 1.0) * 1e-9
-    ends = {}
     for d in range(dims):
         p, q = ray.origin[d] + ray.direction[d] * a, ray.origin[d] + ray.direction[d] * z
-        ends[f"min{d}"], ends[f"max{d}"] = F.least(p, q) - slack, F.greatest(p, q) + slack
-    pieces = near.select(F.col(key), *(v.alias(n) for n, v in ends.items()))
-    met = collide_two(pieces, boxes(dims, key), df, spec, sizes=cell_sizes(df, spec), hit=lambda x, y: g.overlaps_or_touches(x, y)).distinct()
-    pairs = met.join(rays, met[f"l_{key}"] == rays[key]).drop(f"l_{key}")
-    for k in spec.key:
-        pairs = pairs.withColumnRenamed(f"r_{k}", f"_r_{k}")
-    own = df.select(*(F.col(k).alias(f"_r_{k}") for k in spec.key), *(x.alias(f"_lo{d}") for d, x in enumerate(spec.box().lo)), *(x.alias(f"_hi{d}") for d, x in enumerate(spec.box().hi)))
-    pairs = pairs.join(own, [f"_r_{k}" for k in spec.key])
-    box = Box([F.col(f"_lo{d}") for d in range(dims)], [F.col(f"_hi{d}") for d in range(dims)])
+        near = near.withColumns({f"l_min{d}": F.least(p, q) - slack, f"l_max{d}": F.greatest(p, q) + slack})
+    pieces = Box([F.col(f"l_min{d}") for d in range(dims)], [F.col(f"l_max{d}") for d in range(dims)])
+    right, box = _sided(df, spec, "r", 0.0)
+    right = right.withColumn("level", _level(box, sizes))
+    met = _covered(near, pieces, sizes, F.col("level")).join(_covered(right, box, sizes, F.col("level")), ["level", *(f"c{d}" for d in range(dims))])
+    met = met.where(_in_own_cell(pieces, box, sizes, F.col("level")))
     hit = g.ray_hits_point(ray, box.lo, tolerance, increment) if spec.kind == "point" else g.ray_hits_box(ray, box, tolerance, increment)
-    hits = pairs.withColumn("_hit", hit).where(F.col("_hit").isNotNull()).select(key, *([] if "max_dist" not in rays.columns else ["max_dist"]), *(F.col(f"_r_{k}").alias(f"r_{k}") for k in spec.key), F.col("_hit.enter").alias("enter"), F.col("_hit.exit").alias("exit"))
-    if "max_dist" in rays.columns:
+    hits = met.withColumn("_hit", hit).where(F.col("_hit").isNotNull())
+    piece = F.when(F.col("_step") > 0, F.floor((F.col("_hit.enter") - F.col("_from")) / F.col("_step"))).otherwise(0)
+    hits = hits.where(F.greatest(F.lit(0), F.least(F.col("_pieces") - 1, piece)) == F.col("_piece"))
+    hits = hits.select(key, *(["max_dist"] if limited else []), *(f"r_{k}" for k in spec.key), F.col("_hit.enter").alias("enter"), F.col("_hit.exit").alias("exit"))
+    if limited:
         hits = hits.where(F.col("max_dist").isNull() | (F.col("enter") <= F.col("max_dist"))).drop("max_dist")
     if first:
+        # Read twice, but found once.
+        hits = cut(hits)
         bound = hits.groupBy(key).agg((F.min("exit") * (1.0 + increment) + max(tolerance, 0.0 if tolerance else EPSILON)).alias("_bound"))
         hits = hits.join(bound, key).where(F.col("enter") <= F.col("_bound")).drop("_bound")
     return hits

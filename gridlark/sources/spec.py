@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.functions.geometry import BASE_TOLERANCE, Box
+from gridlark.plans.storage import cut
 
 CONTIGUOUS, STABLE, KEYED = "contiguous", "stable", "keyed"
 
@@ -90,12 +91,18 @@ def struct_boxes(name: str, dims: int = 3, key: str = "id") -> GeometrySpec:
 
 
 def with_row_ids(df: DataFrame, order: Sequence[str], key: str = "id") -> DataFrame:
-    """Contiguous ids 0, 1, ... in the order of these columns, without one task for all rows."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    """Contiguous ids 0, 1, ... in the order of these columns, without one task for all rows.
+
+    Range partitioning draws its borders anew each time it runs; so rows are
+    written with their partition's number and their place in it before they are counted.
+    """
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    parts = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", at))
+    # One number for each partition.
     counts = {r["_part"]: r["n"] for r in parts.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    starts, at = [], 0
+    starts, first = [], 0
     for p in sorted(counts):
-        starts.append((p, at))
-        at += counts[p]
+        starts.append((p, first))
+        first += counts[p]
     offsets = df.sparkSession.createDataFrame(starts, "_part int, _start long")
-    return parts.join(F.broadcast(offsets), "_part").withColumn(key, F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_at", "_start")
+    return parts.join(F.broadcast(offsets), "_part").withColumn(key, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")

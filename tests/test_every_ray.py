@@ -25,8 +25,8 @@ def test_every_part_is_a_ray(spark):
     turn = {0: (1.0, 0.0), 1: (0.6, 0.8), 2: (0.8, -0.6)}
     rays = [{"qid": p["p_partkey"], "o0": 0.0, "o1": p["p_partkey"] % 1500 * 1.0, "d0": turn[p["p_size"] % 3][0], "d1": turn[p["p_size"] % 3][1]} for p in parts]
     boxes = registry.table(spark, SF, "order_boxes").collect()
-    got = {(r["qid"], r["r_id"]) for r in registry.QUERIES["batch_rays_every"](spark, SF).collect()}
+    got = {(r["qid"], r["r_id"]) for r in registry.QUERIES["batch_rays"](spark, SF).collect()}
     sure, may = ({(r["qid"], b["id"]) for r in rays for b in boxes if hits(r, b, wide)} for wide in (0.0, 0.02))
     assert sure <= got <= may and len(got) > 2000
-    first = {(r["qid"], r["r_id"]) for r in registry.QUERIES["batch_rays_first_every"](spark, SF).collect()}
+    first = {(r["qid"], r["r_id"]) for r in registry.QUERIES["batch_rays_first"](spark, SF).collect()}
     assert first <= got and {q for q, _ in first} == {q for q, _ in got}
