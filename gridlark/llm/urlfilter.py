@@ -13,14 +13,15 @@ uniform distribution. A url's score is the difference of its log-likelihoods,
 divided by its number of symbols. Each gram's difference is rounded to a whole
 number of 1e-6, so that sums don't depend on the order of addition.
 
-Calibration: scores of the labelled urls are counted in bins of 0.01 (4001 of
-them); the threshold is the edge with the fewest wrong sides, both labels
+Calibration: labelled urls of a fold of their own, by the first digit of the MD5 of
+their symbols (3 of 16), train nothing; equal urls are in one fold. Their scores are
+counted in bins of 0.01 (4001 of them); the threshold is the edge with the fewest wrong sides, both labels
 weighing the same, ties to the lowest edge; where bins below the edge are empty,
 it is in their middle. At or above it a url is accepted.
 
 Nulls: a null url, or one without `://`, has an empty host and an empty path,
 fits no rule and, being empty, scores 0. Without accepted or without rejected
-urls there is no threshold, and what no rule fits is accepted. Equal urls count
+urls in the fold there is no threshold, and what no rule fits is accepted. Equal urls count
 each for the models and the threshold, and are scored once. Rows keep null ids.
 """
 
@@ -37,6 +38,8 @@ SYMBOLS = 31
 SCALE = 1_000_000
 BIN = SCALE // 100
 EDGE_BINS = 2000
+#: First hexadecimal digits of the urls that calibrate.
+FOLD = ("0", "1", "2")
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -66,6 +69,11 @@ def canonical(url: Column) -> Column:
     return F.coalesce(F.regexp_replace(plain, r"[^a-z0./-]", "_"), F.lit(""))
 
 
+def calibrates(symbols: Column) -> Column:
+    """True for urls of the calibration fold."""
+    return F.substring(F.md5(symbols), 1, 1).isin(*FOLD)
+
+
 def grams_of(rows: DataFrame, symbols: str, keep: list[str]) -> DataFrame:
     """One row per symbol: the gram of the symbol and the three before it."""
     padded = F.concat(F.lit("^" * CONTEXT), F.col(symbols))
@@ -127,12 +135,14 @@ def judge(pages: DataFrame, rules: dict[str, str], key: str = "page_id", url: st
     rows = pages.select(F.col(key), host.alias("host"), path.alias("path"), canonical(F.col(url)).alias("symbols"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", name.alias("rule"), verdict.alias("label"))
+    rows = rows.withColumn("calibrates", calibrates(F.col("symbols")))
     # Equal urls are scored once; each counts for the models.
-    model = train(rows)
+    model = train(rows.withColumn("taught", F.when(~F.col("calibrates"), F.col("label"))), label="taught")
     distinct = rows.groupBy("symbols").agg(F.count(F.lit(1)).alias("n")).select("symbols")
-    scored = score(distinct.withColumn("own", F.col("symbols")), model, "own").withColumnRenamed("own", "own_symbols")
+    # Written before it is joined, so that Spark can split a url that many rows have.
+    scored = staged(score(distinct.withColumn("own", F.col("symbols")), model, "own").withColumnRenamed("own", "own_symbols"), "url-scores")
     rows = rows.join(scored, rows["symbols"] == scored["own_symbols"], "left").withColumn("score", F.coalesce("score", F.lit(0).cast("long")))
-    limit = calibrate(rows)
+    limit = calibrate(rows.where("calibrates"))
     judged = rows.join(F.broadcast(limit.agg(F.max("threshold").alias("threshold"))), F.lit(True), "left")
     by_model = F.when(F.col("threshold").isNull() | (F.col("score") >= F.col("threshold")), "allow").otherwise("block")
     return judged.select(key, "host", "path", "rule", F.coalesce("label", by_model).alias("verdict"), "score", "threshold")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlark.llm.urlfilter import BIN, CONTEXT, EDGE_BINS, LOWER, SCALE, SYMBOLS, UPPER, judge
+from gridlark.llm.urlfilter import BIN, CONTEXT, EDGE_BINS, FOLD, LOWER, SCALE, SYMBOLS, UPPER, judge
 
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
@@ -44,15 +44,15 @@ with r0 as (select page_id, case when instr(url, '://') > 0 then substring(url,
 r1 as (select page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') as host,
   coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path,
   coalesce(regexp_replace(regexp_replace(translate(rest, '{UPPER}', '{LOWER}'), '[0-9]', '0', 'g'), '[^a-z0./-]', '_', 'g'), '') as symbols from r0),
-r2 as (select *, {_rules_sql()} from r1),
-g as (select symbols, label, unnest(generate_series(1, length(symbols))) as pos, concat('{"^" * CONTEXT}', symbols) as padded from r2 where length(symbols) > 0),
+r2 as (select *, {_rules_sql()}, substring(md5(symbols), 1, 1) in {FOLD} as calibrates from r1),
+g as (select symbols, case when not calibrates then label end as label, unnest(generate_series(1, length(symbols))) as pos, concat('{"^" * CONTEXT}', symbols) as padded from r2 where length(symbols) > 0),
 counted as (select substring(padded, pos, {n}) as gram, sum(case when label = 'allow' then 1 else 0 end) as allow, sum(case when label = 'block' then 1 else 0 end) as block from g group by 1),
 {_model_sql()},
 u as (select distinct symbols from r2 where length(symbols) > 0),
 ug as (select symbols, unnest(generate_series(1, length(symbols))) as pos, concat('{"^" * CONTEXT}', symbols) as padded from u),
 us as (select symbols, cast(floor(cast(sum(ratio) as double) / cast(count(*) as double)) as bigint) as score from ug join model on substring(padded, pos, {n}) = gram group by 1),
 s as (select r2.*, coalesce(us.score, 0) as score from r2 left join us using (symbols)),
-b as (select least(greatest(cast(floor(cast(score as double) / {BIN}) as bigint), -{EDGE_BINS}), {EDGE_BINS}) as bin, sum(case when label = 'allow' then 1 else 0 end) as allow, sum(case when label = 'block' then 1 else 0 end) as block from s where label is not null group by 1),
+b as (select least(greatest(cast(floor(cast(score as double) / {BIN}) as bigint), -{EDGE_BINS}), {EDGE_BINS}) as bin, sum(case when label = 'allow' then 1 else 0 end) as allow, sum(case when label = 'block' then 1 else 0 end) as block from s where label is not null and calibrates group by 1),
 w as (select cast(floor(cast((bin + coalesce(lag(bin) over (order by bin) + 1, bin)) * {BIN} as double) / 2.0) as bigint) as edge, coalesce(sum(allow) over (order by bin rows between unbounded preceding and 1 preceding), 0) * sum(block) over ()
   + sum(block) over (order by bin rows between current row and unbounded following) * sum(allow) over () as wrong, sum(allow) over () * sum(block) over () as both_n from b),
 l as (select (select edge from w where both_n > 0 order by wrong, edge limit 1) as threshold)
