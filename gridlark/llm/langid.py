@@ -4,7 +4,7 @@ Whole texts are averaged over hashed byte bigrams and trigrams. A linear support
 vector machine for each pair of families votes on the family; within it, one for
 each pair of its languages votes on the language. Classifiers are fitted by dual
 coordinate descent on the driver, on a bounded sample of labelled rows: about
-`sample` rows, the same share for each language, picked by a hash of the id.
+`sample` rows, the same share for each language, picked by a hash of id and text.
 Rows whose crc32 of the id as text is divisible by 5 are held out. Only the text
 and, when learning, lang are read.
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import held_out, text_bytes
+from gridlark.llm.common import held_out, small_batches, text_bytes
 
 #: Language codes by family.
 FAMILIES = {
@@ -105,7 +105,7 @@ def _sample(docs: DataFrame, key: str, text: str, lang: str, sample: int) -> tup
         return np.zeros((0, WIDTH), np.float32), []
     each = max(1, sample // len(counts))
     share = F.create_map(*(F.lit(v) for l, n in sorted(counts.items()) for v in (l, min(1.0, each / n))))
-    picked = known.where(F.pmod(F.xxhash64(F.lit("langid"), "k"), F.lit(1 << 30)) < F.element_at(share, F.col("l")) * float(1 << 30))
+    picked = known.where(F.pmod(F.xxhash64(F.lit("langid"), "k", "t"), F.lit(1 << 30)) < F.element_at(share, F.col("l")) * float(1 << 30))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,6 +191,7 @@ def identify(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "tex
     """key, held_out, lang_pred and score of every whole text."""
     source = docs.select(key, text, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("lettered"), held_out(key).alias("held_out"))
     kind = source.schema[key].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

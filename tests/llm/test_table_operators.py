@@ -88,11 +88,47 @@ def test_neighbours_have_high_recall(spark, monkeypatch):
 def test_vectors_that_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (8, [0.5, 0.5]), (9, [0.5, 0.5])]
     df = vectors(spark, rows).withColumn("rank", F.lit("clash"))
-    found = [tuple(r) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect()]
+    found = [tuple(r)[:4] for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect()]
     assert found == [(0, 1, 8, 0.5), (0, 2, 9, 0.5)]
+    twice = df.unionAll(df).unionAll(vectors(spark, [(0, [0.0, 1.0]), (9, [0.0, 3.0])]).withColumn("rank", F.lit("")))
+    lists = defaultdict(list)
+    for r in sorted(ann.nearest(twice, F.col("vec_id") % 20 == 0).collect(), key=lambda r: r["rank"]):
+        lists[r["query_row"]].append((r["query_id"], r["rank"], r["vec_id"], r["score"]))
+    assert sorted(lists.values()) == [[(0, 1, 8, 0.5), (0, 2, 9, 0.5), (0, 3, 9, 0.0)], [(0, 1, 9, 3.0), (0, 2, 8, 0.5), (0, 3, 9, 0.5)]]
     assert ann.nearest(df.where("vec_id < 0"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_recall_on_embeddings(spark, sf):
+    path = f"/root/testdata/sf{sf}"
+    rows = sorted((r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{path}/embeddings.parquet").collect())
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    query = registry.QUERIES["op2_ann"](spark, path)
+    assert query.dtypes[:4] == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "double")]
+    got = defaultdict(set)
+    for r in query.collect():
+        got[r["query_id"]].add(r["vec_id"])
+    recall = []
+    for q in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[q]
+        score[q] = -np.inf
+        right = ids[np.lexsort((ids, -score))[:20]]
+        recall.append(len(got[ids[q]] & set(right.tolist())) / len(right))
+    assert len(got) == len(recall) and np.mean(recall) >= 0.93
+
+
+def test_few_rows_are_verified():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(8192, 64)) + 0.7 * rng.normal(size=(40, 64))[rng.integers(0, 40, 8192)]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids, verified, recall = np.arange(8192), [], []
+    for q, found, _ in ann.search_block(ids, x, ids[::100], x[::100], 20, 1.0, verified=verified):
+        score = x @ x[100 * q]
+        score[100 * q] = -np.inf
+        recall.append(len(set(found.tolist()) & set(np.argsort(-score)[:20].tolist())) / 20)
+    assert np.mean(verified) < 0.07 * 8192 and np.mean(recall) >= 0.9
+
+
 def test_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     truth = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
@@ -200,22 +236,47 @@ def test_shards_are_near_equal_and_keep_groups(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(s) == 1 for s in of_text.values())
 
 
-def test_longest_first_schedule():
-    rng = random.Random(3)
-    sizes = [(i, rng.randrange(1, 100)) for i in range(200)]
-    placed = sharding.longest_processing_time(sizes, 7)
-    loads = [0] * 7
-    for i, size in sorted(sizes, key=lambda x: (-x[1], x[0])):
-        at = min(range(7), key=lambda s: (loads[s], s))
-        assert placed[i] == at
-        loads[at] += size
-    assert heapq.nlargest(1, loads)[0] - min(loads) <= max(s for _, s in sizes)
+def by_heap(sizes, shards):
+    """The plain way: group by group, in this order, to the least-loaded shard."""
+    heap, out = [(0, s) for s in range(shards)], []
+    for size in sizes:
+        load, s = heapq.heappop(heap)
+        out.append(s)
+        heapq.heappush(heap, (load + size, s))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_turns_are_the_heap_s(seed):
+    rng = random.Random(seed)
+    shards = rng.choice([1, 2, 3, 7, 16])
+    classes = {rng.choice([1, 2, 3, rng.randrange(1, 50), rng.randrange(1, 5000)]): rng.choice([1, 2, 5, rng.randrange(1, 400)]) for _ in range(rng.randrange(1, 30))}
+    plain = by_heap([s for s in sorted(classes, reverse=True) for _ in range(classes[s])], shards)
+    turns, found = sharding.longest_processing_time(list(classes.items()), shards), []
+    for size in sorted(classes, reverse=True):
+        for i in range(classes[size]):
+            first, order = max((t for t in turns[size] if t[0] <= i), key=lambda t: t[0])
+            found.append(order[(i - first) % len(order)])
+    assert found == plain
+
+
+def test_placement_is_a_heap_s_over_all_groups(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    sizes = Counter()
+    for _, t in rows:
+        sizes[hashlib.sha256(t.encode()).digest()] += len(t.encode()) + 1
+    order = sorted(sizes, key=lambda d: (-sizes[d], d))
+    where = dict(zip(order, by_heap([sizes[d] for d in order], 16), strict=True))
+    query = registry.QUERIES["op7_sharding"](spark, "/root/testdata/sf0.01")
+    assert dict(query.dtypes) == {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"}
+    assert {r["doc_id"]: r["shard"] for r in query.collect()} == {i: where[hashlib.sha256(t.encode()).digest()] for i, t in rows}
 
 
 def test_shards_of_odd_rows(spark):
-    docs = documents(spark, [None, None, "", "a", "a", (9, "b"), (9, "b"), (None, "c")], extra=True)
+    docs = documents(spark, [None, None, "", "a", "a", (9, "b"), (9, "b"), (None, "c"), "long " * 200_000], extra=True)
     found = sharding.shard_documents(docs, 4).collect()
-    assert len(found) == 8 and sorted(r["size"] for r in found) == [1, 1, 1, 2, 2, 2, 2, 2]
+    assert len(found) == 9 and sorted(r["size"] for r in found) == [1, 1, 1, 2, 2, 2, 2, 2, 1_000_001]
     assert len({r["shard"] for r in found if r["doc_id"] in (0, 1)}) == 1
     assert sharding.shard_documents(docs.where("doc_id < 0"), 4).count() == 0
 
