@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridlark.llm.common import byte_slices, release, text_bytes
+from gridlark.llm.common import byte_slices, release, small_batches, text_bytes
 
 #: Fixed value: the public pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -394,6 +394,7 @@ def encode_texts(docs: DataFrame, vocabulary_path: str, text: str = "text", key:
     The automaton is compiled on the driver and broadcast: arrays of a few MB,
     whose size is that of the vocabulary. Its pool of words goes with its task.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Automaton(load_vocabulary(vocabulary_path)))
     source = docs.select(key, text)
     kind = source.schema[key].dataType.simpleString()

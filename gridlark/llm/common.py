@@ -33,21 +33,38 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/gridlark/{name}-{uuid.uuid4().hex}"
 
 
-CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is staged: shuffle files go when they are done with, and batches of rows are small, since texts may be long.
+WHILE_STAGED = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "10000", "spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20),
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
+}
+#: The same for results, which run when the caller likes: the settings of the session that these operators lower, where they are still Spark's defaults.
+DEFAULTS = {"spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "67108864", "64m"), "spark.sql.parquet.columnarReaderBatchSize": ("4096",)}
+#: Bytes that a writing task holds before it writes them.
+ROW_GROUP = 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session hands texts over in small batches, unless its user has set the sizes."""
+    for name, defaults in DEFAULTS.items():
+        if spark.conf.get(name, defaults[0]) in defaults:
+            spark.conf.set(name, WHILE_STAGED[name])
 
 
 @contextlib.contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what runs within are removed when it is done, not when the driver's garbage happens to be collected."""
-    before = spark.conf.get(CLEANUP_CONF, None)
-    spark.conf.set(CLEANUP_CONF, "true")
+    """What runs within holds little: see WHILE_STAGED."""
+    before = {k: spark.conf.get(k, None) for k in WHILE_STAGED}
+    for k, v in WHILE_STAGED.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP_CONF)
-        else:
-            spark.conf.set(CLEANUP_CONF, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 _scratch: list[list[str]] = []
@@ -75,7 +92,7 @@ def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     path = new_path(spark, name)
     schema = df.schema
     with tidy(spark):
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     if len(_scratch) > keep:
         _scratch[-1 - keep].append(path)
     return spark.read.schema(schema).parquet(path)

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import bit_map, byte_slices, has_bit, map_bits, release, split_rows, staged, text_bytes
+from gridlark.llm.common import bit_map, byte_slices, has_bit, map_bits, release, small_batches, split_rows, staged, text_bytes
 
 WINDOW = 8
 MOST_SLOTS = 4
@@ -255,6 +255,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 def without_items(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents table without the rows whose text holds an item; rows are told apart by their texts, not by ids, and null texts stay."""
     name = "_gridlark_text"
+    small_batches(docs.sparkSession)
     marked = docs.select("*", F.xxhash64(F.col(text)).alias(name))
     found = staged(contaminated(marked.where(F.col(text).isNotNull()), items, key=name, text=text, **options).select(F.col("doc_id").alias(name)).distinct(), "contaminated")
     met, others = split_rows(marked, name, docs.sparkSession.sparkContext.broadcast(bit_map(found, name, map_bits(docs.count()))))

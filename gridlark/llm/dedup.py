@@ -45,7 +45,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import bit_map, has_bit, map_bits, release, scratch, shared_value, split_rows, staged, text_bytes
+from gridlark.llm.common import bit_map, has_bit, map_bits, release, scratch, shared_value, small_batches, split_rows, staged, text_bytes
 from gridlark.llm.suffixes import RunLengthIndex
 
 LEAST = 400
@@ -421,6 +421,7 @@ def _byte_spans(own: bytes, coded: list[tuple[int, int]]) -> list[tuple[int, int
 def deduplicate(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text", carry: list[str] | None = None, words: int = 0) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), text (the same, without characters that a removed passage cut in two), kept_sha256 and extra (a struct of the columns to carry) of every row."""
     spark = docs.sparkSession
+    small_batches(spark)
     count = docs.count()
     rows = staged(_prepared(docs, key, text, least, carry or []), "dedup-rows")
     with scratch(spark):

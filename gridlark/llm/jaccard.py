@@ -49,7 +49,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import bit_map, drop_staged, has_bit, map_bits, release, scratch, shared_value, split_rows, staged, tidy
+from gridlark.llm.common import bit_map, drop_staged, has_bit, map_bits, release, scratch, shared_value, small_batches, split_rows, staged, tidy
 from gridlark.llm.graph import components
 
 #: Counters of shingles: of 32-bit numbers while they are added up, one byte each (a logarithm) when they are shared.
@@ -179,13 +179,22 @@ def _shingled(docs: DataFrame, key: str, text: str, words: int, carry: list[str]
     return source.mapInArrow(run, f"doc_id bigint, n bigint, node bigint, shingles binary, extra {kind}")
 
 
-def _sets(batch: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
-    for x in batch.column(column):
-        yield np.frombuffer(x.as_buffer() or b"", np.uint64)
+def _named(sets: DataFrame) -> DataFrame:
+    """hash (by which the row that stands for a node is known), node, n and shingles of the sets that aren't empty."""
+    return sets.where("n > 0").select(F.xxhash64("node", "doc_id").alias("hash"), "node", "n", "shingles")
 
 
-def counted_shingles(sets: DataFrame, rows: int) -> np.ndarray:
-    """The counters of all shingles (column `shingles`, as bytes), as logarithms of one byte, for sets of so many documents."""
+def _chosen(batches: Iterator[pa.RecordBatch], wanted: Broadcast) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """The rows of _named() that the map has, a few hundred at a time, with their sets; it may let some others through."""
+    for batch in batches:
+        keep = batch.filter(pa.array(has_bit(wanted.value, batch.column(0).to_numpy())))
+        for a in range(0, len(keep), ROWS):
+            part = keep.slice(a, ROWS)
+            yield part, [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(3)]
+
+
+def counted_shingles(sets: DataFrame, chosen: Broadcast, rows: int) -> np.ndarray:
+    """The counters of all shingles of the chosen rows of _named(), as logarithms of one byte, for so many documents."""
     bits = min(MOST_COUNTERS, max(LEAST_COUNTERS, (64 * max(1, rows) - 1).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,12 +208,11 @@ def counted_shingles(sets: DataFrame, rows: int) -> np.ndarray:
                 found = np.bincount(place[a:b] & ((1 << COUNTER_BLOCK) - 1), minlength=1 << COUNTER_BLOCK).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays([pa.array([int(blocks[a])], pa.int32()), pa.array([zlib.compress(found.tobytes(), 1)], pa.binary())], ["block", "counts"])
 
-        for batch in batches:
-            for a in range(0, len(batch), ROWS):
-                held.append((np.concatenate(list(_sets(batch.slice(a, ROWS), 0))) & np.uint64((1 << bits) - 1)).astype(np.int32))
-                if sum(map(len, held)) >= FLUSH:
-                    yield from flush()
-                    held = []
+        for _, found in _chosen(batches, chosen):
+            held.append((np.concatenate(found) & np.uint64((1 << bits) - 1)).astype(np.int32))
+            if sum(map(len, held)) >= FLUSH:
+                yield from flush()
+                held = []
         if sum(map(len, held)):
             yield from flush()
         del held
@@ -223,38 +231,25 @@ def counted_shingles(sets: DataFrame, rows: int) -> np.ndarray:
     out = np.zeros(1 << bits, np.uint8)
     parts = max(1, min(64, 1 << (bits - COUNTER_BLOCK)))
     with tidy(sets.sparkSession):
-        found = sets.select("shingles").mapInArrow(count, "block int, counts binary").repartition(parts, "block").mapInArrow(add, "block int, levels binary").toArrow()
+        found = sets.mapInArrow(count, "block int, counts binary").repartition(parts, "block").mapInArrow(add, "block int, levels binary").toArrow()
     for b, raw in zip(found.column("block").to_pylist(), found.column("levels").to_pylist(), strict=True):
         out[b << COUNTER_BLOCK : (b + 1) << COUNTER_BLOCK] = np.frombuffer(raw, np.uint8)
     return out
 
 
-def _keyed(nodes: DataFrame, counts: Broadcast, num: int, den: int, boundary: int) -> DataFrame:
-    """node, n, heavy, light and signature of every node (node, n, shingles)."""
+def _keyed(sets: DataFrame, chosen: Broadcast, counts: Broadcast, num: int, den: int, boundary: int) -> DataFrame:
+    """node, n, heavy, light and signature of the chosen rows of _named()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.uint64)
-        for batch in batches:
-            for a in range(0, len(batch), ROWS):
-                part = batch.slice(a, ROWS)
-                sets = list(_sets(part, 2))
-                heavy = [heavy_keys(s, counts.value, num, den) if len(s) * den // num > boundary else none for s in sets]
-                light = [light_keys(s, boundary, num, den) if len(s) <= boundary else none for s in sets]
-                marks = pa.array([_words(signature(s)) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _lists(heavy), _lists(light), marks], ["node", "n", "heavy", "light", "signature"])
+        for part, found in _chosen(batches, chosen):
+            heavy = [heavy_keys(s, counts.value, num, den) if len(s) * den // num > boundary else none for s in found]
+            light = [light_keys(s, boundary, num, den) if len(s) <= boundary else none for s in found]
+            marks = pa.array([_words(signature(s)) for s in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), _lists(heavy), _lists(light), marks], ["node", "n", "heavy", "light", "signature"])
         release()
 
-    return nodes.select("node", "n", "shingles").mapInArrow(run, "node bigint, n bigint, heavy array<bigint>, light array<bigint>, signature array<bigint>")
-
-
-def _chosen_sets(sets: DataFrame, wanted: Broadcast, where: str) -> DataFrame:
-    """node, n and shingles of the rows whose hash (an expression) the map has; it may let some others through."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(has_bit(wanted.value, batch.column(0).to_numpy())))
-
-    return sets.where("n > 0").select(F.expr(where).alias("hash"), "node", "n", "shingles").mapInArrow(run, "hash bigint, node bigint, n bigint, shingles binary").drop("hash")
+    return sets.mapInArrow(run, "node bigint, n bigint, heavy array<bigint>, light array<bigint>, signature array<bigint>")
 
 
 def _entries(keyed: DataFrame, repeated: Broadcast | None = None) -> DataFrame:
@@ -286,16 +281,14 @@ def _may_share(a: str, b: str, num: int, den: int) -> Column:
     return _may_link(F.col(f"{a}n"), F.col(f"{b}n"), num, den) & (left * (num + den) >= (F.col(f"{a}n") + F.col(f"{b}n")) * num)
 
 
-def _as_lists(sets: DataFrame) -> DataFrame:
-    """node and shingles as an array."""
+def _whole_sets(sets: DataFrame, chosen: Broadcast) -> DataFrame:
+    """node and shingles (an array) of the chosen rows of _named()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, len(batch), ROWS):
-                part = batch.slice(a, ROWS)
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists(list(_sets(part, 1)))], ["node", "shingles"])
+        for part, found in _chosen(batches, chosen):
+            yield pa.RecordBatch.from_arrays([part.column(1), _lists(found)], ["node", "shingles"])
 
-    return sets.select("node", "shingles").mapInArrow(run, "node bigint, shingles array<bigint>")
+    return sets.mapInArrow(run, "node bigint, shingles array<bigint>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -319,9 +312,8 @@ def linked_rows(docs: DataFrame, words: int, num: int, den: int, key: str = "doc
         # One row stands for each node; of wholly repeated rows several may, which only repeats entries.
         reps = staged(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep")), "jaccard-nodes")
         with shared_value(spark, bit_map(reps.select(F.xxhash64("node", "rep").alias("hash")), "hash", bits)) as chosen:
-            nodes = _chosen_sets(sets, chosen, "xxhash64(node, doc_id)")
-            with shared_value(spark, counted_shingles(nodes, rows)) as counts:
-                keyed = staged(_keyed(nodes, counts, num, den, boundary), "jaccard-keys")
+            with shared_value(spark, counted_shingles(_named(sets), chosen, rows)) as counts:
+                keyed = staged(_keyed(_named(sets), chosen, counts, num, den, boundary), "jaccard-keys")
         # Keys that occur once are counted out before anything else about them is shuffled.
         with shared_value(spark, bit_map(_entries(keyed).groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "token", bits)) as repeated:
             entries = staged(_entries(keyed, repeated), "jaccard-entries")
@@ -345,7 +337,7 @@ def linked_rows(docs: DataFrame, words: int, num: int, den: int, key: str = "doc
             wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
             named = wanted.join(reps, "node").select(F.xxhash64("node", "rep").alias("hash"))
             with shared_value(spark, bit_map(named, "hash", bits)) as picked:
-                whole_sets = staged(_as_lists(_chosen_sets(sets, picked, "xxhash64(node, doc_id)")), "jaccard-whole")
+                whole_sets = staged(_whole_sets(_named(sets), picked), "jaccard-whole")
             found = staged(_verified(pairs, whole_sets, num, den), "jaccard-links")
             drop_staged(whole_sets)
             drop_staged(pairs)
@@ -389,6 +381,7 @@ def without_near_copies(docs: DataFrame, words: int = 5, num: int = 4, den: int
     all stay. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     own = docs.columns
     names = ["_gridlark_r1", "_gridlark_r2"]
     marked = docs.select("*", *(c.alias(n) for c, n in zip(_row_names(docs, own), names, strict=True)))

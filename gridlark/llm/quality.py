@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import byte_slices, held_out, staged, text_bytes
+from gridlark.llm.common import byte_slices, held_out, release, small_batches, staged, text_bytes
 
 FEATURES = 256
 SEED = 20240611
@@ -193,6 +193,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, least: float = 0.3, key:
 
 def keep_documents(docs: DataFrame, labels: DataFrame, least: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that score at least `least`, with all their columns; nothing is joined, each text is scored where it is read."""
+    small_batches(docs.sparkSession)
     model = fit(staged(document_statistics(docs, key, text), "quality-stats"), labels, key)
     place = docs.columns.index(text)
 
@@ -205,5 +206,6 @@ def keep_documents(docs: DataFrame, labels: DataFrame, least: float = 0.3, key:
                 _length_stats(data, 0, b - a, part.column(place).to_pylist(), rows, offsets[a : b + 1])
                 raw = expand(np.array(rows, np.float32).astype(np.float64), model) @ model["weights"]
                 yield part.filter(pa.array(np.interp(raw, model["knots"], model["levels"]) >= least))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
