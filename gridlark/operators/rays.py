@@ -66,14 +66,15 @@ def batch_rays(rays: DataFrame, df: DataFrame, spec: GeometrySpec, dims: int, fi
     near = rays.select(key, *(f"o{d}" for d in range(dims)), *(f"d{d}" for d in range(dims)), *(["max_dist"] if limited else []), span.alias("_span"))
     near = near.where(F.col("_span").isNotNull() & g.normalized(ray.direction))
     stop = F.least(F.col("_span.exit"), F.coalesce("max_dist", F.col("_span.exit"))) if limited else F.col("_span.exit")
-    near = near.withColumns({"_from": F.col("_span.enter"), "_to": stop}).where("_from <= _to").drop("_span")
+    near = near.withColumns({"_from": F.col("_span.enter"), "_to": stop, "_end": F.col("_span.exit")}).where("_from <= _to").drop("_span")
     near = near.withColumn("level", F.explode(F.array(*(F.lit(x) for x in stats.levels(sizes)))))
     cells = g._largest([F.abs(d) * (F.col("_to") - F.col("_from")) / F.lit(s) for d, s in zip(ray.direction, sizes, strict=True)]) / F.pow(F.lit(2.0), F.col("level"))
     near = near.withColumn("_pieces", F.greatest(F.lit(1), F.least(F.lit(MOST_PIECES), F.ceil(cells).cast("int"))))
     near = near.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1)))
     near = near.withColumn("_step", (F.col("_to") - F.col("_from")) / F.col("_pieces"))
     a, z = F.col("_from") + F.col("_step") * F.col("_piece"), F.col("_from") + F.col("_step") * (F.col("_piece") + 1)
-    slack = z * increment + tolerance + (F.abs(z) + 1.0) * 1e-9
+    # What a ray may miss a row by grows up to where it leaves the row, which is within the domain.
+    slack = F.greatest(F.lit(0.0), F.col("_end")) * increment + tolerance + (F.abs(z) + 1.0) * 1e-9
     for d in range(dims):
         p, q = ray.origin[d] + ray.direction[d] * a, ray.origin[d] + ray.direction[d] * z
         near = near.withColumns({f"l_min{d}": F.least(p, q) - slack, f"l_max{d}": F.greatest(p, q) + slack})
@@ -81,7 +82,9 @@ def batch_rays(rays: DataFrame, df: DataFrame, spec: GeometrySpec, dims: int, fi
     right, box = _sided(df, spec, "r", 0.0)
     right = right.withColumn("level", _level(box, sizes))
     met = _covered(near, pieces, sizes, F.col("level")).join(_covered(right, box, sizes, F.col("level")), ["level", *(f"c{d}" for d in range(dims))])
-    met = met.where(_in_own_cell(pieces, box, sizes, F.col("level")))
+    # Most pairs of a cell don't touch; that is found out before a hit is computed.
+    touch = g.both([(x <= w) & (y <= v) for x, v, y, w in zip(pieces.lo, pieces.hi, box.lo, box.hi, strict=True)])
+    met = met.where(touch & _in_own_cell(pieces, box, sizes, F.col("level")))
     hit = g.ray_hits_point(ray, box.lo, tolerance, increment) if spec.kind == "point" else g.ray_hits_box(ray, box, tolerance, increment)
     hits = met.withColumn("_hit", hit).where(F.col("_hit").isNotNull())
     piece = F.when(F.col("_step") > 0, F.floor((F.col("_hit.enter") - F.col("_from")) / F.col("_step"))).otherwise(0)
