@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gridlark.functions.morton import Grid, loose_key, point_key
 from gridlark.sources.spec import GeometrySpec
 
-VERSION = 1
+VERSION = 2
 
 
 def save(df: DataFrame, spec: GeometrySpec, path: str, grid: Grid | None = None, order: bool = True, mode: str = "errorifexists") -> None:
@@ -26,7 +26,7 @@ def save(df: DataFrame, spec: GeometrySpec, path: str, grid: Grid | None = None,
         if order:
             df = df.repartitionByRange("node_key").sortWithinPartitions("node_key")
     df.write.mode(mode).parquet(f"{path}/data")
-    meta = {"version": VERSION, "spec": asdict(spec), "grid": None if grid is None else {"lo": list(grid.lo), "hi": list(grid.hi), "depth": grid.depth}}
+    meta = {"version": VERSION, "spec": asdict(spec), "grid": None if grid is None else {"lo": list(grid.lo), "hi": list(grid.hi), "depth": grid.depth, "outside": grid.outside}}
     df.sparkSession.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode(mode).parquet(f"{path}/_meta_table")
 
 
