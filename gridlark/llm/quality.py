@@ -192,9 +192,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, least: float = 0.3, key:
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, least: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that score at least `least`, with all their columns; nothing is joined, each text is scored where it is read."""
+    """The documents that score at least `least`, with all their columns; each text is scored where it is read, and only the rows that the model learns from are written before that."""
     small_batches(docs.sparkSession)
-    model = fit(staged(document_statistics(docs, key, text), "quality-stats"), labels, key)
+    learned = docs.where(F.col(key).isNotNull() & ~held_out(key))
+    model = fit(document_statistics(learned, key, text), labels, key)
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
